@@ -88,9 +88,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, bits: int =
     return (np.frombuffer(got[0].w), got[0].bias) if got else (np.zeros(1 << bits), 0.0)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str], bits: int = BITS) -> DataFrame:
-    """``columns`` of docs and score, the probability of label 1; null and empty texts have the bias alone. 2 MB of weights go along."""
+def score(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str], bits: int = BITS, text: str = "text") -> DataFrame:
+    """``columns`` of docs and score (one of that name is replaced), the probability of label 1; null and empty texts have the bias alone. 2 MB of weights go along."""
     w, bias = model
+    columns = [c for c in columns if c != "score"]
     schema = docs.select(*columns).schema.add("score", "double")
 
     def of(batches):
@@ -105,7 +106,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], columns: list[str],
                 out[a:e] = 1 / (1 + np.exp(-np.clip(z, -35, 35)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(out)], [*columns, "score"])
 
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInArrow(of, schema)
+    return docs.select(*columns, F.col(text).cast("string").alias("_text")).mapInArrow(of, schema)
 
 
 def held_out(fold: int):
