@@ -16,7 +16,7 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -26,9 +26,11 @@ from .text import Words, mix, raw_texts, slices
 #: Share of the hash space whose frequencies are counted for all classes; more than 1 - threshold.
 LOW = 0.25
 #: Frequencies are told apart up to this one.
-MOST_DF = 64
+MOST_DF = 4096
 #: Candidates of one query that are searched in one go.
 CHUNK = 256
+#: Classes of a list up to which all its pairs are candidates, and in a block of a longer one.
+SHORT, BLOCK = 16, 1024
 _TOP = np.uint64(1 << 63)
 _WIDE = np.uint64(0xA24BAED4963EE407)
 
@@ -179,6 +181,63 @@ def verified(pairs: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame
     return sides.groupBy("a", "chunk").applyInPandas(of, "a long, b long")
 
 
+def searched(lists: DataFrame, prefix: DataFrame, full: DataFrame, num: int, den: int) -> DataFrame:
+    """Links a, b that join the components which meet in long lists: in each list only those that join two of them.
+
+    Lists are cut into blocks of BLOCK classes, and two blocks meet in a task. A pair is looked at in the list of its first common shingle,
+    and only if the shingles that their prefixes share, with all behind them, can reach the overlap.
+    """
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
+    work = lists.select("tok", "cls", "component", mine.alias("g"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
+    work = work.select("tok", "cls", "component", F.least("g", "o").alias("g1"), F.greatest("g", "o").alias("g2"), "g")
+    sets = prefix.select("cls", "p", F.col("l.tok").alias("l"), F.col("end.df").alias("end_df"), F.col("end.tok").alias("end_tok")).join(full, "cls")
+
+    def of(key, pdf):
+        tok, g1, g2 = key
+        prefixes = [np.asarray(x) for x in pdf["l"]]
+        sizes = np.fromiter(map(len, pdf["toks"]), np.int64, len(pdf))
+        row = np.repeat(np.arange(len(pdf)), [len(x) for x in prefixes])
+        _, column = np.unique(np.concatenate(prefixes), return_inverse=True)
+        every = np.zeros((len(pdf), column.max() + 1), np.float32)
+        every[row, column] = 1
+        before = np.zeros_like(every)
+        early = np.concatenate([np.arange(len(x)) < int(np.flatnonzero(x == tok)[0]) for x in prefixes])
+        before[row[early], column[early]] = 1
+        end = np.empty(len(pdf), np.int64)
+        end[np.lexsort((pdf["end_tok"], pdf["end_df"]))] = np.arange(len(pdf))
+        block, comp, cls, p = (pdf[c].to_numpy() for c in ("g", "component", "cls", "p"))
+        up: dict[int, int] = {}
+
+        def root(x):
+            while up.get(x, x) != x:
+                x = up[x]
+            return x
+
+        a, b = [], []
+        right = np.flatnonzero(block == g2)
+        sets = [np.asarray(x) for x in pdf["toks"]]
+        for x in np.flatnonzero(block == g1):
+            y = right[right > x] if g1 == g2 else right
+            n, m = sizes[x], sizes[y]
+            need = -(-num * (n + m) // (den + num))
+            shared = every[y] @ every[x]
+            rest = np.where(end[x] <= end[y], n - p[x], m - p[y])
+            ok = (comp[y] != comp[x]) & (before[y] @ before[x] == 0) & (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (shared + rest >= need)
+            y, need = y[ok], need[ok]
+            ok = np.fromiter((root(comp[x]) != root(c) for c in comp[y]), bool, len(y))
+            y, need = y[ok], need[ok]
+            for k in divide_skip(sets[x], [sets[i] for i in y], need.tolist()):
+                r, s = root(comp[x]), root(comp[y[k]])
+                if r != s:
+                    up[max(r, s)] = min(r, s)
+                    a.append(cls[x])
+                    b.append(cls[y[k]])
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+
+    return work.join(sets, "cls").groupBy("tok", "g1", "g2").applyInPandas(of, "a long, b long")
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
 
@@ -213,7 +272,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     prefix = full.select("cls", F.size("toks").cast("long").alias("n")).join(own, "cls").withColumn("p", F.expr(p)).withColumn("slots", F.expr("p - (n - size(l))")).where("slots > 0")
     prefix = prefix.select("cls", "n", "p", F.expr("slice(l, 1, cast(slots as int))").alias("l")).withColumn("end", F.expr("element_at(l, -1)"))
     prefix = staged(prefix)
-    lists = prefix.select("cls", "n", F.explode("l.tok").alias("tok"))
+    lists = prefix.select("cls", "n", "p", "end", F.size("l").alias("slots"), F.posexplode("l.tok").alias("i", "tok"))
 
     centre = lists.groupBy("tok").agg(F.min(F.struct("cls", "n")).alias("c"), F.count("*").alias("size")).where("size > 1")
     star = lists.join(centre.select("tok", F.col("c.cls").alias("o"), F.col("c.n").alias("m")), "tok").where(f"cls <> o and {ratio}")
@@ -223,13 +282,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     named = lists.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     mixed = named.groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tok")
-    left = staged(named.join(mixed, "tok", "left_semi"))
-    other = left.select("tok", F.col("cls").alias("o"), F.col("n").alias("m"), F.col("component").alias("oc"))
-    more = left.join(other, "tok").where(f"cls < o and component <> oc and {ratio}").groupBy("cls", "o").agg(F.count("*").alias("c"))
-    ends = prefix.select("cls", "n", "p", "end")
-    more = more.join(ends, "cls").join(ends.select(F.col("cls").alias("o"), F.col("n").alias("m"), F.col("p").alias("q"), F.col("end").alias("oend")), "o")
-    more = more.where(f"c + if(end <= oend, n - p, m - q) >= ceil({num} * (n + m) / {den + num})").select(F.col("cls").alias("a"), F.col("o").alias("b"))
-    second = staged(verified(more, full, num, den))
+    left = staged(named.join(mixed, "tok", "left_semi").withColumn("size", F.count("*").over(Window.partitionBy("tok"))))
+    few = left.where(F.col("size") <= SHORT)
+    other = few.select("tok", *[F.col(c).alias(o) for c, o in (("cls", "o"), ("n", "m"), ("p", "q"), ("end", "oend"), ("slots", "oslots"), ("i", "j"), ("component", "oc"))])
+    # shared shingles of the two prefixes, as far as their places in both lists allow, with all that follows the prefix that ends first
+    reach = f"least(i, j) + 1 + least(slots - i, oslots - j) - 1 + if(end <= oend, n - p, m - q) >= ceil({num} * (n + m) / {den + num})"
+    more = few.join(other, "tok").where(f"cls < o and component <> oc and {ratio} and {reach}").select(F.col("cls").alias("a"), F.col("o").alias("b")).distinct()
+    more = verified(more, full, num, den).unionByName(searched(left.where(F.col("size") > SHORT), prefix, full, num, den))
+    second = staged(more.distinct())
     if not second.isEmpty():
         comp = connected_components(first.unionByName(second))
 
