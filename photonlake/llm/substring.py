@@ -93,7 +93,7 @@ def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     base = docs.drop("_cuts", "_row", "_sentences_cut", "_words_cut")
     names = base.columns
     work = base.withColumn("_row", F.xxhash64("doc_id", "text")).join(cuts.withColumnRenamed("row", "_row"), "_row", "left").select(*names, F.expr("transform(_cuts, c -> c.start)").alias("_a"), F.expr("transform(_cuts, c -> c.stop)").alias("_z"))
-    schema = base.schema.add("_sentences_cut", "long").add("_words_cut", "long")
+    schema = base.select("*").schema.add("_sentences_cut", "long").add("_words_cut", "long")
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
     def of(batches):
