@@ -77,7 +77,7 @@ _EVENTS = {
     f""", s AS (SELECT recording_id, list(t ORDER BY seq) AS ts, list(p ORDER BY seq) AS ps, count(*) AS size FROM ev GROUP BY recording_id),
 c AS (SELECT recording_id, CAST(0 AS BIGINT) AS i, ts[1] AS anchor, CAST(0 AS BIGINT) AS k FROM s
 UNION ALL SELECT recording_id, i + k2, CASE WHEN bycount THEN ts[i + k2 + 1] ELSE anchor + {6 * HOUR} END, k2 FROM (
-SELECT c.recording_id, c.i, c.anchor, s.ts, s.size, least(len(list_filter(s.ts[c.i + 1:c.i + 21], v -> v < c.anchor + {6 * HOUR})), 20) AS k2, len(list_filter(s.ts[c.i + 1:c.i + 21], v -> v < c.anchor + {6 * HOUR})) > 20 AS bycount FROM c JOIN s USING (recording_id) WHERE c.i < s.size))
+SELECT c.recording_id, c.i, c.anchor, s.ts, s.size, least(len(list_filter(s.ts[c.i + 1:c.i + 21], lambda v: v < c.anchor + {6 * HOUR})), 20) AS k2, len(list_filter(s.ts[c.i + 1:c.i + 21], lambda v: v < c.anchor + {6 * HOUR})) > 20 AS bycount FROM c JOIN s USING (recording_id) WHERE c.i < s.size))
 SELECT c.recording_id, c.k AS n, list_min(s.ts[c.i - c.k + 1:c.i]) AS first_t, list_max(s.ts[c.i - c.k + 1:c.i]) AS last_t, CAST(list_sum(s.ps[c.i - c.k + 1:c.i]) AS BIGINT) AS on_cnt FROM c JOIN s USING (recording_id) WHERE c.k > 0""",
     ),
     "prefix_dt": (lambda ev: L.prefix_dt(ev, DAY), f"SELECT {COLS} FROM e WHERE t < t0 + {DAY}"),
