@@ -191,22 +191,44 @@ def searched(lists: DataFrame, prefix: DataFrame, full: DataFrame, num: int, den
     mine = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     work = lists.select("tok", "cls", "component", mine.alias("g"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("o"))
     work = work.select("tok", "cls", "component", F.least("g", "o").alias("g1"), F.greatest("g", "o").alias("g2"), "g")
-    sets = prefix.select("cls", "p", F.col("l.tok").alias("l"), F.col("end.df").alias("end_df"), F.col("end.tok").alias("end_tok")).join(full, "cls")
+    parts = prefix.select("cls", "n", "p", F.col("l.tok").alias("l"), F.col("end.df").alias("end_df"), F.col("end.tok").alias("end_tok"))
 
-    def of(key, pdf):
-        tok, g1, g2 = key
+    def candidates(tok, g1, g2, pdf):
+        """Row of pdf, the rows that it may link to, and the overlaps that these need."""
         prefixes = [np.asarray(x) for x in pdf["l"]]
-        sizes = np.fromiter(map(len, pdf["toks"]), np.int64, len(pdf))
-        row = np.repeat(np.arange(len(pdf)), [len(x) for x in prefixes])
-        _, column = np.unique(np.concatenate(prefixes), return_inverse=True)
-        every = np.zeros((len(pdf), column.max() + 1), np.float32)
-        every[row, column] = 1
-        before = np.zeros_like(every)
+        size = [len(x) for x in prefixes]
+        row, values = np.repeat(np.arange(len(pdf)), size), np.concatenate(prefixes)
         early = np.concatenate([np.arange(len(x)) < int(np.flatnonzero(x == tok)[0]) for x in prefixes])
-        before[row[early], column[early]] = 1
+        _, column, count = np.unique(values, return_inverse=True, return_counts=True)
+        common = count[column] > 1
+        row, early, (_, column) = row[common], early[common], np.unique(column[common], return_inverse=True)
         end = np.empty(len(pdf), np.int64)
         end[np.lexsort((pdf["end_tok"], pdf["end_df"]))] = np.arange(len(pdf))
-        block, comp, cls, p = (pdf[c].to_numpy() for c in ("g", "component", "cls", "p"))
+        block, comp, p, n = (pdf[c].to_numpy() for c in ("g", "component", "p", "n"))
+        left, right = np.flatnonzero(block == g1), np.flatnonzero(block == g2)
+        every = np.zeros((len(pdf), column.max() + 1), np.float32)
+        every[row, column] = 1
+        shared = every[left] @ every[right].T
+        every[row[~early], column[~early]] = 0
+        first = every[left] @ every[right].T == 0
+        for i, x in enumerate(left):
+            need = -(-num * (n[x] + n[right]) // (den + num))
+            rest = np.where(end[x] <= end[right], n[x] - p[x], n[right] - p[right])
+            ok = first[i] & (shared[i] + rest >= need) & (comp[right] != comp[x]) & (num * np.maximum(n[x], n[right]) <= den * np.minimum(n[x], n[right]))
+            if g1 == g2:
+                ok &= right > x
+            if ok.any():
+                yield x, right[ok], need[ok]
+
+    def active(key, pdf):
+        rows = np.zeros(len(pdf), bool)
+        for x, y, _ in candidates(*key, pdf):
+            rows[x] = rows[y] = True
+        return pdf.loc[rows, ["tok", "g1", "g2", "cls", "component", "g"]]
+
+    def links(key, pdf):
+        comp, cls = pdf["component"].to_numpy(), pdf["cls"].to_numpy()
+        sets = [np.asarray(x) for x in pdf["toks"]]
         up: dict[int, int] = {}
 
         def root(x):
@@ -215,16 +237,7 @@ def searched(lists: DataFrame, prefix: DataFrame, full: DataFrame, num: int, den
             return x
 
         a, b = [], []
-        right = np.flatnonzero(block == g2)
-        sets = [np.asarray(x) for x in pdf["toks"]]
-        for x in np.flatnonzero(block == g1):
-            y = right[right > x] if g1 == g2 else right
-            n, m = sizes[x], sizes[y]
-            need = -(-num * (n + m) // (den + num))
-            shared = every[y] @ every[x]
-            rest = np.where(end[x] <= end[y], n - p[x], m - p[y])
-            ok = (comp[y] != comp[x]) & (before[y] @ before[x] == 0) & (num * np.maximum(n, m) <= den * np.minimum(n, m)) & (shared + rest >= need)
-            y, need = y[ok], need[ok]
+        for x, y, need in candidates(*key, pdf):
             ok = np.fromiter((root(comp[x]) != root(c) for c in comp[y]), bool, len(y))
             y, need = y[ok], need[ok]
             for k in divide_skip(sets[x], [sets[i] for i in y], need.tolist()):
@@ -235,7 +248,9 @@ def searched(lists: DataFrame, prefix: DataFrame, full: DataFrame, num: int, den
                     b.append(cls[y[k]])
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return work.join(sets, "cls").groupBy("tok", "g1", "g2").applyInPandas(of, "a long, b long")
+    schema = "tok long, g1 int, g2 int, cls long, component long, g int"
+    some = staged(work.join(parts, "cls").groupBy("tok", "g1", "g2").applyInPandas(active, schema))
+    return some.join(parts.join(full, "cls"), "cls").groupBy("tok", "g1", "g2").applyInPandas(links, "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
