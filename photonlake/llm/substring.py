@@ -63,7 +63,7 @@ def _runs(w: Words, first: np.ndarray, ptr: np.ndarray, sentences: int, words: i
 
 
 def spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
-    """h, doc_id, row (hash of doc_id and text), start, stop of every run."""
+    """h, doc_id, row (hash of doc_id and text), start, stop of every run, one for each text; what a text repeats of itself has a first place of -1."""
 
     def of(batches):
         for b in batches:
@@ -71,6 +71,17 @@ def spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> Da
             for a, e in slices(raw):
                 w = Words(raw[a:e])
                 doc, start, stop, h = _runs(w, *_sentences(w), sentences, words)
+                # a run's repeats in its own text go in any case: they become merged ranges, behind a place that comes first
+                order = np.lexsort((start, h, doc))
+                later = np.zeros(len(h), bool)
+                later[order[1:]] = (doc[order[1:]] == doc[order[:-1]]) & (h[order[1:]] == h[order[:-1]])
+                d, x, z = doc[later], start[later], stop[later]
+                head = np.flatnonzero(np.concatenate((np.ones(min(1, len(d)), bool), (d[1:] != d[:-1]) | (x[1:] > z[:-1]))))
+                d, x, z = d[head], x[head], (np.maximum.reduceat(z, head) if len(head) else z)
+                rows = b.column(1).to_numpy()[a:e]
+                own = mix(mix(rows[d].view(np.uint64)) ^ (x + 1).astype(np.uint64))
+                none = np.full(len(d), -1)
+                doc, start, stop, h = (np.concatenate(v) for v in ((doc[~later], d, d), (start[~later], none, x), (stop[~later], none, z), (h[~later], own, own)))
                 at = pa.array(doc + a)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(at), b.column(1).take(at), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["h", "doc_id", "row", "start", "stop"])
 
