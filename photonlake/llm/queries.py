@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op5_hilbert_neighbours
 from .decontaminate import op2_decontaminate
 from .html import op7_main_text
+from .jaccard import ORACLE_SQL as JACCARD_SQL
 from .jaccard import op8_jaccard_join
 from .lattice import op9_lattice
 from .mixing import op1_mix
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op8_jaccard_join": JACCARD_SQL}
