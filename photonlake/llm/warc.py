@@ -101,3 +101,22 @@ def damaged(pages: DataFrame) -> DataFrame:
 def op4_merkle_audit(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return audit(layout(pages), damaged(pages))
+
+
+#: The same rows by comparing all records of both replicas; CRC-32 is spelt out bit by bit.
+ORACLE_SQL = """
+WITH c AS (
+  SELECT page_id, coalesce(url, '') AS url, coalesce(html, '') AS html, coalesce(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(page_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+    lambda crc, d: list_reduce(list_prepend(xor(crc, d), range(8)), lambda x, _: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384::BIGINT ELSE 0 END))), 4294967295::BIGINT) % 97, -1) AS crc FROM pages),
+v AS (
+  SELECT page_id, crc, 0 AS side, url, html FROM c
+  UNION ALL SELECT page_id, crc, 1, url, CASE WHEN crc = 0 AND ends_with(html, '>') THEN left(html, length(html) - 1) || '#' ELSE html END FROM c),
+h AS (
+  SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) AS head FROM v),
+r AS (SELECT side, crc, CAST(floor(page_id / 4096.0) AS BIGINT) AS file, page_id AS record, strlen(head) + strlen(html) + 4 AS length, sha256(head || html) AS digest FROM h),
+o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY side, file ORDER BY record, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r),
+a AS (SELECT * FROM o WHERE side = 0),
+b AS (SELECT * FROM o WHERE side = 1 AND crc <> 1)
+SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") // 65536 AS leaf, coalesce(a.record, b.record) AS record, coalesce(a."offset", b."offset") AS "offset",
+  CASE WHEN b.side IS NULL THEN 'missing' WHEN a.side IS NULL THEN 'extra' ELSE 'altered' END AS status, a.digest AS digest, b.digest AS replica_digest
+FROM a FULL JOIN b ON a.record = b.record AND a.file = b.file AND a."offset" = b."offset" WHERE a.digest IS DISTINCT FROM b.digest"""
