@@ -13,6 +13,8 @@ import zipfile
 
 import numpy as np
 
+from .aedat import aedat3, aedat4, encode4
+
 _NONE = (np.empty(0, np.int64),) * 3
 
 
@@ -47,7 +49,7 @@ def sniff(path: str, data: bytes) -> str:
     suffix = path.rsplit(".", 1)[-1].lower()
     if suffix == "bin":
         raise NotImplementedError("the .bin format is reserved")
-    fixed = {"dat": "dat", "csv": "csv", "txt": "csv", "npz": "npz", "aer": "aer", "evt2": "evt2", "evt21": "evt21", "evt4": "evt4"}
+    fixed = {"dat": "dat", "csv": "csv", "txt": "csv", "npz": "npz", "aer": "aer", "evt2": "evt2", "evt21": "evt21", "evt4": "evt4", "aedat4": "aedat4", "h5": "hdf5", "hdf5": "hdf5"}
     if suffix in fixed:
         return fixed[suffix]
     head, fields = data[:512], header(data)[0]
@@ -235,13 +237,28 @@ def npz(data: bytes):
     return *[np.asarray(e[c]).astype(np.int64) for c in "txyp"], *_NONE
 
 
+def hdf5_columns(tree):
+    """Columns of a tree of arrays: ``events/t`` and so on, or a compound table ``CD/events`` or ``events``; ``t_offset`` is added to t, p is 0 or 1."""
+    at = tree["CD"]["events"] if "CD" in tree else tree["events"]
+    t, x, y, p = (np.asarray(at[c][:]).astype(np.int64) for c in "txyp")
+    return t + (int(np.asarray(tree["t_offset"]).item()) if "t_offset" in tree else 0), x, y, np.clip(p, 0, 1), *_NONE
+
+
+def hdf5(data: bytes):
+    """Needs the h5py package."""
+    import h5py
+
+    with h5py.File(io.BytesIO(data), "r") as tree:
+        return hdf5_columns(tree)
+
+
 def decode(path: str, data: bytes, fmt: str | None = None, **options):
     """Columns of a recording; ``fmt`` wins over suffix and content."""
     path, data = decompress(path, data)
     fmt = fmt or sniff(path, data)
     if fmt in ("evt2", "evt21", "evt3", "evt4", "dat"):
         return globals()[fmt](data[header(data)[1] :], **options)
-    if fmt not in ("aer", "aedat1", "aedat2", "csv", "npz"):
+    if fmt not in ("aer", "aedat1", "aedat2", "aedat3", "aedat4", "csv", "npz", "hdf5"):
         raise NotImplementedError(f"format {fmt}")
     return globals()[fmt](data, **options)
 
@@ -255,6 +272,8 @@ def encode(fmt: str, t, x, y, p, width: int = 1280, height: int = 720) -> bytes:
         out = io.BytesIO()
         np.savez(out, t=t, x=x.astype(np.uint16), y=y.astype(np.uint16), p=p.astype(np.uint8), width=width, height=height)
         return out.getvalue()
+    if fmt == "aedat4":
+        return encode4(t, x, y, p, width, height)
     if fmt == "aer":
         return ((y & 511) | (x & 511) << 9 | (p & 1) << 18).astype("<u4").tobytes()
     if fmt == "dat":

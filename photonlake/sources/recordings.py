@@ -33,7 +33,7 @@ def _read(spark: SparkSession, path: str, fmt: str | None, triggers: bool, optio
 
 
 def read_events(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
-    """Events of all files under a path (evt2, evt21, evt3, evt4, dat, aer, aedat1, aedat2, csv, npz; .gz .bz2 .xz .zst around them). recording_id is the file."""
+    """Events of all files under a path (evt2, evt21, evt3, evt4, dat, aer, aedat1 to aedat4, csv, npz, hdf5; .gz .bz2 .xz .zst around them). recording_id is the file."""
     return _read(spark, path, fmt, False, options)
 
 

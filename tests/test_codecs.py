@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from photonlake.operators.windows import mixed_cuts, resolve_mode
-from photonlake.sources import codecs
+from photonlake.sources import aedat, codecs
 from photonlake.sources.recordings import encoded, read_events
 
 
@@ -11,7 +11,7 @@ def events(n=5000, side=512, span=100_000, seed=42):
     return np.sort(r.integers(0, span, n)), r.integers(0, side, n), r.integers(0, side, n), r.integers(0, 2, n)
 
 
-@pytest.mark.parametrize("fmt", ["evt2", "evt21", "evt3", "evt4", "dat", "csv", "npz", "aer"])
+@pytest.mark.parametrize("fmt", ["evt2", "evt21", "evt3", "evt4", "dat", "csv", "npz", "aer", "aedat4"])
 def test_round_trip(fmt):
     t, x, y, p = events()
     got = codecs.decode(f"a.{fmt}", codecs.encode(fmt, t, x, y, p))
@@ -70,3 +70,42 @@ def test_files_of_recordings(spark, tmp_path):
     assert df.count() == 600 and df.select("recording_id").distinct().count() == 3
     again = encoded(df, "dat").collect()
     assert len(again) == 3 and len(codecs.decode("a.dat", bytes(again[0].content))[0]) == 200
+
+
+def packet(kind, data, t, overflow=0):
+    head = np.array([(kind, 0, 8, 4, overflow, len(t), len(t), len(t))], aedat._V3_HEAD)
+    return head.tobytes() + np.stack((data, t), 1).astype("<u4").tobytes()
+
+
+def test_aedat3():
+    t, x, y, p = events(1000, side=300)
+    valid = np.arange(1000) % 9 != 0
+    words = x << 17 | y << 2 | p << 1 | valid
+    head = b"#!AER-DAT3.1\r\n#Format: RAW\r\n#!END-HEADER\r\n"
+    marks = np.array([2 << 1 | 1, 3 << 1 | 1, 1 << 1 | 1, 2 << 1])
+    body = packet(3, words[:5], t[:5]) + packet(1, words[:600], t[:600]) + packet(0, marks, np.arange(4)) + packet(1, words[600:], t[600:], 2)
+    got = codecs.decode("a.aedat", head + body + b"cut")
+    later = t + np.where(np.arange(1000) >= 600, 2 << 31, 0)
+    for a, b in zip((later, x, y, p), got):
+        assert np.array_equal(a[valid], b)
+    assert got[4].tolist() == [0, 1] and got[5].tolist() == [1, 0] and got[6].tolist() == [0, 0]
+    assert len(codecs.decode("a.aedat", head)[0]) == 0
+
+
+@pytest.mark.parametrize("compression", ["none", "zstd", "zstd_high"])
+def test_aedat4_triggers(compression):
+    t, x, y, p = events(300)
+    data = aedat.encode4(t, x, y, p, 512, 512, ([5, 9], [1, 0]), compression, per_packet=70)
+    got = codecs.decode("a.aedat4", data + b"cut")
+    assert all(np.array_equal(a, b) for a, b in zip((t, x, y, p), got))
+    assert got[4].tolist() == [5, 9] and got[5].tolist() == [1, 0]
+    assert codecs.sniff("a.aedat", data) == "aedat4"
+    with pytest.raises(ValueError):
+        aedat.aedat4(data[:20])
+
+
+def test_hdf5_trees():
+    table = np.array([(1, 2, 1, 10), (3, 4, -1, 20)], [("x", "u2"), ("y", "u2"), ("p", "i2"), ("t", "i8")])
+    for tree in ({"CD": {"events": table}}, {"events": table}, {"events": {c: table[c] for c in "txyp"}}):
+        got = codecs.hdf5_columns(tree | {"t_offset": np.array(5)})
+        assert [c.tolist() for c in got[:4]] == [[15, 25], [1, 3], [2, 4], [1, 0]]
