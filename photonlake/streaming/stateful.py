@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators.windows import positive
@@ -43,3 +48,79 @@ def tumbling(stream: DataFrame, delta_t: int) -> DataFrame:
             yield pdf[names].assign(window_id=(pdf["t"] - t0) // delta_t)
 
     return stream.groupBy("recording_id").applyInPandasWithState(of, schema, "t0 long", "append", GroupStateTimeout.NoTimeout)
+
+
+def by_count(stream: DataFrame, n_events: int) -> DataFrame:
+    """Events with window_id = position div n_events; the state is how many events the recording has had. Rows of a micro-batch are taken in seq order."""
+    positive("n_events", n_events)
+    names = stream.columns
+    schema = ", ".join(f"{n} {k}" for n, k in stream.dtypes) + ", window_id long"
+
+    def of(key, parts, state):
+        pdf = pd.concat(list(parts)).sort_values("seq")
+        seen = state.get[0] if state.exists else 0
+        state.update((seen + len(pdf),))
+        yield pdf[names].assign(window_id=(seen + np.arange(len(pdf))) // n_events)
+
+    return stream.groupBy("recording_id").applyInPandasWithState(of, schema, "seen long", "append", GroupStateTimeout.NoTimeout)
+
+
+def mixed(stream: DataFrame, delta_t: int, n_events: int) -> DataFrame:
+    """Events with window_id as the batch form's, for recordings in time order; the state is the open window's start, size and number."""
+    positive("delta_t", delta_t), positive("n_events", n_events)
+    names = stream.columns
+    schema = ", ".join(f"{n} {k}" for n, k in stream.dtypes) + ", window_id long"
+
+    def of(key, parts, state):
+        pdf = pd.concat(list(parts)).sort_values("seq")
+        start, size, k = state.get if state.exists else (int(pdf["t"].iloc[0]), 0, 0)
+        found = []
+        for t in pdf["t"].tolist():
+            if t >= start + delta_t:
+                k, size = k + (size > 0), 0
+                start += (t - start) // delta_t * delta_t
+            elif size == n_events:
+                k, size, start = k + 1, 0, t
+            size += 1
+            found.append(k)
+        state.update((start, size, k))
+        yield pdf[names].assign(window_id=np.array(found, np.int64))
+
+    return stream.groupBy("recording_id").applyInPandasWithState(of, schema, "start long, size long, k long", "append", GroupStateTimeout.NoTimeout)
+
+
+class Pace:
+    """How long to wait before rows are handed on, so that their times pass at ``speed`` times real time from the first ones on.
+
+    The anchor is absolute: a late consumer is not delayed further. A wait of more than ``max_gap`` seconds is skipped and
+    the anchor moves; None never skips.
+    """
+
+    def __init__(self, speed: float = 1.0, max_gap: float | None = None, clock=time.monotonic):
+        if speed <= 0:
+            raise ValueError("speed must be positive")
+        self.speed, self.max_gap, self.clock, self.anchor = speed, max_gap, clock, None
+
+    def delay(self, first: int, last: int) -> float:
+        """Seconds to wait for rows whose times are first to last (µs)."""
+        now = self.clock()
+        if self.anchor is None:
+            self.anchor = now, first
+        wait = self.anchor[0] + (last - self.anchor[1]) / (1e6 * self.speed) - now
+        if self.max_gap is not None and wait > self.max_gap:
+            self.anchor = now, last
+            return 0.0
+        return max(wait, 0.0)
+
+
+def paced(handle: Callable[[DataFrame, int], None], speed: float = 1.0, max_gap: float | None = None, sleep=time.sleep, clock=time.monotonic) -> Callable[[DataFrame, int], None]:
+    """A function for ``foreachBatch`` that hands each micro-batch to ``handle`` when its last event is due. Only its time bounds come to the driver."""
+    pace = Pace(speed, max_gap, clock)
+
+    def of(batch: DataFrame, number: int) -> None:
+        bounds = batch.agg(F.min("t").alias("a"), F.max("t").alias("b")).first()
+        if bounds.a is not None:
+            sleep(pace.delay(bounds.a, bounds.b))
+        handle(batch, number)
+
+    return of
