@@ -5,15 +5,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
+from ..plans.dims import FEW
 from . import codecs
 
 
 def _read(spark: SparkSession, path: str, fmt: str | None, triggers: bool, options: dict) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "content")
 
     def of(batches):
         for b in batches:
@@ -41,6 +42,38 @@ def read_triggers(spark: SparkSession, path: str, fmt: str | None = None, **opti
     return _read(spark, path, fmt, True, options)
 
 
+def read_csv_events(spark: SparkSession, path: str, delimiter: str = ",", order: tuple[str, ...] = ("t", "x", "y", "p")) -> DataFrame:
+    """Events of CSV files as the CSV codec gives them, for files of any size: splits of one file are read in parallel, in the JVM.
+
+    seq is a row's place in its split after the rows of the splits before, which a first pass counts; both passes cut the files alike.
+    Lines without a visible character and a header of t, x, y and p (in any order, others between) are left out; a header without
+    one of the four is an error. Numbers end at the first other character; what is none, is missing or is beyond 64 bits is 0.
+    gzip and bzip2 files are read as one split.
+    """
+    text = spark.read.text(path)
+    lines = text.select(F.col("_metadata.file_path").alias("recording_id"), F.col("_metadata.file_block_start").alias("_split"), "value").where(F.col("value").rlike(r"\S")).withColumn("_id", F.monotonically_increasing_id())
+    splits = lines.groupBy("recording_id", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"), F.min_by("value", "_id").alias("_line"))
+    ordered = Window.partitionBy("recording_id").orderBy("_split")
+    every = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = f"\\Q{delimiter[0]}\\E"
+    head = F.transform(F.split(F.lower(F.first("_line").over(every)), cut), lambda c: F.regexp_replace(c, r"^\s+|\s+$", ""))
+    names = F.array(*map(F.lit, "txyp"))
+    splits = splits.select("recording_id", "_split", "_first", before.alias("_before"), head.alias("_head")).withColumn("_known", F.size(F.array_intersect("_head", names)))
+    ways = F.when(F.col("_known") == 4, F.col("_head")).when(F.col("_known") > 0, F.raise_error(F.lit("the header lacks a column"))).otherwise(F.array(*map(F.lit, order)))
+    splits = splits.select("recording_id", "_split", (F.col("_before") - F.col("_first") - (F.col("_known") > 0).cast("long")).alias("_add"), ways.alias("_order"))
+    # a file has one split, and one more for each partition that it fills
+    few = len(text.inputFiles()) + text.rdd.getNumPartitions() <= FEW
+    rows = lines.join(F.broadcast(splits) if few else splits, ["recording_id", "_split"]).withColumn("seq", F.col("_id") + F.col("_add")).where("seq >= 0").withColumn("_f", F.split("value", cut, -1))
+
+    def number(name: str):
+        digits = F.regexp_extract(F.get("_f", F.array_position("_order", F.lit(name)).cast("int") - 1), r"^[ \t]*([+-]?[0-9]+)", 1)
+        return F.coalesce(digits.try_cast("long"), F.lit(0))
+
+    narrow = lambda name, mask, kind: number(name).bitwiseAND(mask).cast(kind).alias(name)
+    return rows.select("recording_id", "seq", number("t").alias("t"), narrow("x", 65535, "int"), narrow("y", 65535, "int"), narrow("p", 255, "short"))
+
+
 def encoded(events: DataFrame, fmt: str, width: int = schema.WIDTH, height: int = schema.HEIGHT) -> DataFrame:
     """recording_id, content: the bytes of each recording. A recording is encoded in one task, as formats are sequential."""
 

@@ -3,7 +3,7 @@ import pytest
 
 from photonlake.operators.windows import mixed_cuts, resolve_mode
 from photonlake.sources import aedat, codecs
-from photonlake.sources.recordings import encoded, read_events
+from photonlake.sources.recordings import encoded, read_csv_events, read_events
 
 
 def events(n=5000, side=512, span=100_000, seed=42):
@@ -109,3 +109,23 @@ def test_hdf5_trees():
     for tree in ({"CD": {"events": table}}, {"events": table}, {"events": {c: table[c] for c in "txyp"}}):
         got = codecs.hdf5_columns(tree | {"t_offset": np.array(5)})
         assert [c.tolist() for c in got[:4]] == [[15, 25], [1, 3], [2, 4], [1, 0]]
+
+
+def test_csv_in_splits(spark, tmp_path):
+    for k in range(2):
+        (tmp_path / f"r{k}.csv").write_bytes(codecs.encode("csv", *events(3000, seed=k)))
+    (tmp_path / "dirty.csv").write_bytes(b"\r\n 10,1,2,1,9\r\nx,5\n \n12ab,70000,3.9,1")
+    (tmp_path / "turned.csv").write_bytes(b"p, X ,note,t,y\n1,2,n,3,4\n,,,,\n-1,-1,,-7,9")
+    (tmp_path / "empty.csv").write_bytes(b"")
+    want = read_events(spark, str(tmp_path))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        got = read_csv_events(spark, str(tmp_path))
+        assert got.schema.simpleString() == want.schema.simpleString() and got.rdd.getNumPartitions() > 10
+        assert sorted(got.collect()) == sorted(want.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    (tmp_path / "bad.csv").write_bytes(b"t,x,y\n1,2,3")
+    with pytest.raises(Exception, match="lacks a column"):
+        read_csv_events(spark, str(tmp_path / "bad.csv")).collect()
