@@ -1,7 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment on words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment on words.
 
-An item's seeds are its word n-grams that are rarest in the corpus. Where a document has a seed, the words
-around it are aligned with the item's; the score is the best local alignment over the item's number of words,
+All word n-grams of an item are its seeds, so that an edited or partial copy is found by whichever are left. Where a document
+has a seed, and enough of the item's words around it, those words are aligned with the item's; the score is the best local alignment over the item's number of words,
 1 for a verbatim copy. The benchmark is worked on in blocks of bounded size, documents are never shuffled.
 """
 
@@ -14,24 +14,24 @@ from pyspark.sql import functions as F
 
 from .text import Words, raw_texts, slices
 
-N, SEEDS, THRESHOLD = 3, 24, 0.45
+N, THRESHOLD = 3, 0.45
 MATCH, MISMATCH, GAP = 1.0, -0.4, -0.4
 #: Words of an item that are aligned at once; a longer item counts as several, and its score is the best of theirs.
 SEGMENT = 256
 #: Words of the benchmark in a block, and items in one.
 BLOCK_WORDS, BLOCK_ITEMS = 2_000_000, 20_000
-#: Windows aligned at once.
-LANES = 2048
+#: Windows aligned at once, and seed hits sorted at once, unless a single text has more.
+LANES, HITS = 2048, 4 << 20
 
 
 class Index:
     """Seeds of a block of items."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], grams: list[np.ndarray], seeds: list[np.ndarray]):
+    def __init__(self, ids: list[int], words: list[np.ndarray], grams: list[np.ndarray]):
         self.ids, self.words = ids, words
-        h = np.concatenate([g[s] for g, s in zip(grams, seeds)]) if ids else np.empty(0, np.uint64)
-        seg = np.concatenate([np.full(len(s), i) for i, s in enumerate(seeds)]) if ids else np.empty(0, np.int64)
-        at = np.concatenate(seeds) if ids else np.empty(0, np.int64)
+        h = np.concatenate(grams) if ids else np.empty(0, np.uint64)
+        seg = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if ids else np.empty(0, np.int64)
+        at = np.concatenate([np.arange(len(g)) for g in grams]) if ids else np.empty(0, np.int64)
         order = np.argsort(h, kind="stable")
         self.h, self.seg, self.at = h[order], seg[order], at[order]
         self.quick = np.zeros(1 << 20, bool)
@@ -65,9 +65,44 @@ def _hits(raw: list, index: Index, n: int, threshold: float):
     some, left, count = some[count > 0], left[count > 0], count[count > 0]
     if not len(some):
         return []
-    each = np.repeat(np.arange(len(some)), count)
+    found: dict[tuple[int, int], float] = {}
+    whole = np.concatenate((np.flatnonzero(doc[some][1:] != doc[some][:-1]) + 1, [len(some)]))
+    ends, start = np.cumsum(count), 0
+    while start < len(some):
+        most = ends[start] - count[start] + HITS
+        k = np.searchsorted(ends[whole - 1], most, "right") - 1
+        stop = int(max(whole[k] if k >= 0 else 0, whole[np.searchsorted(whole, start, "right")]))
+        _aligned(w, index, doc[some[start:stop]], at[some[start:stop]], left[start:stop], count[start:stop], threshold, found)
+        start = stop
+    return [(d, i, s) for (d, i), s in sorted(found.items())]
+
+
+def _promising(w: Words, index: Index, doc: np.ndarray, seg: np.ndarray, a: np.ndarray, z: np.ndarray, threshold: float) -> np.ndarray:
+    """Which windows hold enough of the item's words; each adds 1 to the score at most, so that the others stay below the threshold."""
+    live = np.zeros(w.n, bool)
+    live[doc] = True
+    place = np.flatnonzero(live[w.doc])
+    names, code = np.unique(w.hash[place], return_inverse=True)
+    total = len(w.hash) + 1
+    key = np.sort(code * total + place)
+    size = np.fromiter(map(len, index.words), np.int64, len(index.words))[seg]
+    ok = np.zeros(len(seg), bool)
+    for k in range(0, len(seg), LANES):
+        lane = slice(k, k + LANES)
+        item = np.concatenate([index.words[j] for j in seg[lane]])
+        of = np.repeat(np.arange(len(seg[lane])), size[lane])
+        c = np.minimum(np.searchsorted(names, item), len(names) - 1)
+        at = np.minimum(np.searchsorted(key, c * total + a[lane][of]), len(key) - 1)
+        there = (names[c] == item) & (key[at] >= c * total + a[lane][of]) & (key[at] < c * total + z[lane][of])
+        ok[lane] = np.bincount(of, there, len(seg[lane])) >= threshold * size[lane] - 1e-6
+    return ok
+
+
+def _aligned(w: Words, index: Index, doc: np.ndarray, at: np.ndarray, left: np.ndarray, count: np.ndarray, threshold: float, found: dict) -> None:
+    """Puts the best score of every text and item into found; doc, at: each seed's place, left, count: its entries in the index."""
+    each = np.repeat(np.arange(len(count)), count)
     entry = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count) + left[each]
-    seg, doc, shift = index.seg[entry], doc[some][each], at[some][each] - index.at[entry]
+    seg, doc, shift = index.seg[entry], doc[each], at[each] - index.at[entry]
     order = np.lexsort((shift, seg, doc))
     seg, doc, shift = seg[order], doc[order], shift[order]
     size = np.fromiter(map(len, index.words), np.int64, len(index.words))
@@ -82,7 +117,8 @@ def _hits(raw: list, index: Index, n: int, threshold: float):
     seg, doc, slack, low = seg[head][cell], doc[head][cell], slack[head][cell], low[cell] + 2 * slack[head][cell] * part
     a = np.maximum(low - slack, w.ptr[doc])
     z = np.minimum(low + 3 * slack + size[seg], w.ptr[doc + 1])
-    found: dict[tuple[int, int], float] = {}
+    ok = _promising(w, index, doc, seg, a, z, threshold)
+    seg, doc, a, z = seg[ok], doc[ok], a[ok], z[ok]
     by_size = np.argsort(size[seg], kind="stable")
     for k in range(0, len(by_size), LANES):
         lane = by_size[k : k + LANES]
@@ -97,7 +133,6 @@ def _hits(raw: list, index: Index, n: int, threshold: float):
             key = (int(doc[j]), index.ids[seg[j]])
             if s >= threshold and s > found.get(key, 0):
                 found[key] = float(s)
-    return [(d, i, s) for (d, i), s in sorted(found.items())]
 
 
 def _blocks(benchmark: DataFrame):
@@ -113,8 +148,7 @@ def _blocks(benchmark: DataFrame):
         yield ids, texts
 
 
-def _index(docs: DataFrame, ids: list[int], texts: list[str], n: int, most: int) -> Index:
-    """One pass over docs counts in how many documents each n-gram of the block stands; no larger than the block."""
+def _index(ids: list[int], texts: list[str], n: int) -> Index:
     w = Words([t.encode() for t in texts])
     names, words, grams = [], [], []
     doc, at, h = w.grams(n)
@@ -126,36 +160,10 @@ def _index(docs: DataFrame, ids: list[int], texts: list[str], n: int, most: int)
                 names.append(ids[d])
                 words.append(part)
                 grams.append(own[k : k + len(part) - n + 1])
-    every = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
-    quick = np.zeros(1 << 20, bool)
-    quick[every & np.uint64((1 << 20) - 1)] = True
-
-    def count(batches):
-        total = np.zeros(len(every), np.int64)
-        for b in batches:
-            raw = raw_texts(b.column(0))
-            for a, e in slices(raw):
-                doc, _, h = Words(raw[a:e]).grams(n)
-                some = np.flatnonzero(quick[h & np.uint64((1 << 20) - 1)])
-                at = np.searchsorted(every, h[some])
-                at[at == len(every)] = 0
-                ok = every[at] == h[some]
-                total += np.bincount(np.unique(doc[some][ok] * len(every) + at[ok]) % len(every), minlength=len(every))
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["gram", "df"])
-
-    df = np.zeros(len(every), np.int64)
-    if len(every):
-        for row in docs.select(F.col("text").cast("string")).mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
-            df[row.gram] = row.df
-    seeds = []
-    for g in grams:
-        rare = np.argsort(df[np.searchsorted(every, g)], kind="stable")[: max(most, len(g) // 2)]
-        seeds.append(np.sort(rare))
-    return Index(names, words, grams, seeds)
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, most: int = SEEDS) -> DataFrame:
+    return Index(names, words, grams)
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """doc_id, item_id, score of every document and item (item_id, text) that align at or above the threshold.
 
     Null and empty texts, and items of fewer than n words, match nothing; items without item_id are left out. Repeated rows of docs give
@@ -163,7 +171,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """
     out = None
     for ids, texts in _blocks(benchmark):
-        index = _index(docs, ids, texts, n, most)
+        index = _index(ids, texts, n)
 
         def of(batches, index=index):
             for b in batches:
@@ -178,10 +186,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, most: int = SEEDS) -> DataFrame:
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """The rows of docs, with all their columns, that align with no item at or above the threshold."""
     for ids, texts in _blocks(benchmark):
-        index, names = _index(docs, ids, texts, n, most), docs.columns
+        index, names = _index(ids, texts, n), docs.columns
 
         def of(batches, index=index, at=names.index("text")):
             for b in batches:

@@ -165,3 +165,30 @@ def test_words_are_ascii_runs():
     text = "Ab c d\x0be f  G"
     w = Words([text.encode(), b"", b"x"])
     assert w.count.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", text)), 0, 1]
+
+
+def test_edited_and_partial_copies(spark):
+    r = np.random.default_rng(6)
+    say = lambda n: [f"q{k}" for k in r.integers(0, 50_000, n)]
+    items, rows = [], []
+    for i in range(60):
+        words = say(40 + i % 21)
+        copy = list(words)
+        if i % 3 == 2:
+            copy = words[: len(words) // 2 + 1]
+        else:
+            for j in r.choice(len(words), len(words) * (25 + 5 * (i % 3)) // 100, replace=False):
+                copy[j] = f"edited{j}"
+        items.append((i, " ".join(words)))
+        rows.append((i, " ".join(say(50) + copy + say(50)), "s"))
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.contamination(docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {}
+    for (i, item), (_, text, _) in zip(items, rows):
+        a, b = (np.array([[hash(x) & (2**62 - 1) for x in t.split()]], np.uint64) for t in (item, text))
+        score = decontaminate.align(a, b, np.array([a.shape[1]]))[0] / a.shape[1]
+        # without a run of three words left there is no seed
+        runs = {tuple(item.split()[k : k + 3]) for k in range(a.shape[1] - 2)} & {tuple(text.split()[k : k + 3]) for k in range(b.shape[1] - 2)}
+        if score >= decontaminate.THRESHOLD and runs:
+            want[(i, i)] = score
+    assert len(want) > 40 and got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
