@@ -2,7 +2,7 @@
 
 All word n-grams of an item are its seeds, so that an edited or partial copy is found by whichever are left. Where a document
 has a seed, and enough of the item's words around it, those words are aligned with the item's; the score is the best local alignment over the item's number of words,
-1 for a verbatim copy. The benchmark is worked on in blocks of bounded size, documents are never shuffled.
+1 for a verbatim copy; an item of more than SEGMENT words scores as the best of its parts, each over its own number of words. The benchmark is worked on in blocks of bounded size, documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from .text import Words, raw_texts, slices
 
 N, THRESHOLD = 3, 0.45
 MATCH, MISMATCH, GAP = 1.0, -0.4, -0.4
-#: Words of an item that are aligned at once; a longer item counts as several, and its score is the best of theirs.
+#: Most words of an item that are aligned at once; a longer item counts as several parts of about equal length.
 SEGMENT = 256
 #: Words of the benchmark in a block, and items in one.
 BLOCK_WORDS, BLOCK_ITEMS = 2_000_000, 20_000
@@ -154,12 +154,13 @@ def _index(ids: list[int], texts: list[str], n: int) -> Index:
     doc, at, h = w.grams(n)
     for d in range(w.n):
         mine, own = w.hash[w.ptr[d] : w.ptr[d + 1]], h[np.searchsorted(doc, d) : np.searchsorted(doc, d + 1)]
-        for k in range(0, max(1, len(mine) - n + 1), SEGMENT):
-            part = mine[k : k + SEGMENT]
-            if len(part) >= n:
+        parts = -(-len(mine) // SEGMENT)
+        for k in range(parts):
+            a, z = len(mine) * k // parts, len(mine) * (k + 1) // parts
+            if z - a >= n:
                 names.append(ids[d])
-                words.append(part)
-                grams.append(own[k : k + len(part) - n + 1])
+                words.append(mine[a:z])
+                grams.append(own[a : z - n + 1])
     return Index(names, words, grams)
 
 

@@ -192,3 +192,13 @@ def test_edited_and_partial_copies(spark):
             want[(i, i)] = score
     assert len(want) > 40 and got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_tail_of_a_long_item(spark):
+    r = np.random.default_rng(7)
+    words = [f"q{k}" for k in r.integers(0, 50_000, 259)]
+    say = lambda n: [f"z{k}" for k in r.integers(0, 50_000, n)]
+    texts = [say(40) + words[-3:] + say(40), say(40) + words[:140] + say(40), words]
+    items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = {x.doc_id: x.score for x in decontaminate.contamination(docs_of(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)]), items).collect()}
+    assert {i: round(x, 9) for i, x in got.items()} == {1: 1, 2: 1}
