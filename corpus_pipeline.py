@@ -21,10 +21,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest doc_id of each group of linked ones; rows without doc_id stay unless their group has another."""
-    found = jaccard.jaccard_components(docs)
-    gone = staged(found.where("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(small(gone, gone.count()), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti").dropDuplicates(["doc_id", "text"])
+    """One document of each group of linked ones, that of the smallest doc_id, rows without one last; what has no words is in no group."""
+    found = staged(jaccard.row_components(docs).where("component is not null").select("component", "doc_id", "row"))
+    kept = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least")).select("least.row")
+    gone = staged(found.select("row").distinct().join(kept, "row", "left_anti").withColumnRenamed("row", "_gone"))
+    return docs.join(small(gone, gone.count()), jaccard.row_key() == F.col("_gone"), "left_anti").dropDuplicates(["doc_id", "text"])
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

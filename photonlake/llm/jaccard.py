@@ -58,14 +58,19 @@ def prefix_length(n, num: int, den: int):
     return n - -(-num * n // den) + 1
 
 
+def row_key():
+    """Hash of doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n (size of the set), cls (the set's class), n_low, toks (the low hashes, or the prefix if that is longer)."""
+    """doc_id, row (hash of doc_id and text), n (size of the set), cls (the set's class), n_low, toks (the low hashes, or the prefix if that is longer)."""
     low = np.uint64(LOW * 2**64)
 
     def of(batches):
         for batch in batches:
             n, cls, lows, toks = [], [], [], []
-            for x in _sets(batch.column(1), k):
+            for x in _sets(batch.column(2), k):
                 few = int(np.searchsorted(x, low))
                 n.append(len(x))
                 cls.append(_class_of(x))
@@ -73,9 +78,9 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 toks.append((x[: max(few, prefix_length(len(x), num, den) if len(x) else 0)] ^ _TOP).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(t) for t in toks]))).astype(np.int32)
             values = np.concatenate(toks) if toks else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(lows, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "n", "cls", "n_low", "toks"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(lows, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "row", "n", "cls", "n_low", "toks"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "doc_id long, n long, cls long, n_low long, toks array<long>")
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("row"), F.col("text").cast("string")).mapInArrow(of, "doc_id long, row long, n long, cls long, n_low long, toks array<long>")
 
 
 def frequencies(postings: DataFrame) -> DataFrame:
@@ -253,13 +258,10 @@ def searched(lists: DataFrame, prefix: DataFrame, full: DataFrame, num: int, den
     return some.join(parts.join(full, "cls"), "cls").groupBy("tok", "g1", "g2").applyInPandas(links, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
+def row_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, row (its row_key), n_shingles, component, lowest of every row of docs; see jaccard_components.
 
-    A set holds the distinct runs of k words; a text of fewer words has one run, and without words (or null) none and no
-    link. Two documents link when ``den * intersection >= num * union``; component_id is the smallest doc_id within reach.
-    Repeated rows and equal texts are linked. Rows without doc_id take part; a component of such rows alone has
-    a null id. An empty table gives an empty one; more columns of docs are ignored.
+    component tells components apart whatever their ids, null without words; lowest is the smallest doc_id in it.
     """
     ratio = f"{num} * greatest(n, m) <= {den} * least(n, m)"
     sig = staged(signatures(docs, k, num, den))
@@ -310,8 +312,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
 
     best = classes.select("cls", F.col("doc_id").alias("low")).join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     lowest = best.groupBy("component").agg(F.min("low").alias("lowest"))
-    ids = best.join(lowest, "component").select("cls", "lowest")
-    return sig.join(ids, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), F.expr("if(n = 0, doc_id, lowest)").alias("component_id"))
+    ids = best.join(lowest, "component").select("cls", "component", "lowest")
+    return sig.join(ids, "cls", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), "component", "lowest")
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of docs (doc_id, text).
+
+    A set holds the distinct runs of k words; a text of fewer words has one run, and without words (or null) none and no
+    link. Two documents link when ``den * intersection >= num * union``; component_id is the smallest doc_id within reach.
+    Repeated rows and equal texts are linked. Rows without doc_id take part; a component of such rows alone has
+    a null id. An empty table gives an empty one; more columns of docs are ignored.
+    """
+    return row_components(docs, k, num, den).select("doc_id", "n_shingles", F.expr("if(n_shingles = 0, doc_id, lowest)").alias("component_id"))
 
 
 def op8_jaccard_join(spark, sf_dir: str) -> DataFrame:
