@@ -1,8 +1,8 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line's end; one of more than LONG words is also cut after
-a comma and after words that a hash picks, so that its parts do not depend on where a passage stands in it. From each
-sentence the shortest run of at least SENTENCES sentences and WORDS words is hashed (A-Z lower-cased, white space aside). The first place of a run
+A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line's end; each is also cut after a comma and
+after 1 word in 4 that a hash picks, so that its parts, called sentences from here on, do not depend on where a passage stands in it. From each
+one the shortest run of at least SENTENCES sentences and WORDS words is hashed (A-Z lower-cased, white space aside). The first place of a run
 is the one of the smallest (doc_id, row hash, sentence); sentences that any other place covers go.
 """
 
@@ -13,9 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import small, staged
 from .text import Words, mix, raw_texts, slices
 
-SENTENCES, WORDS, LONG = 2, 20, 24
+SENTENCES, WORDS = 2, 20
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 _WHITE = np.zeros(256, bool)
@@ -31,12 +32,8 @@ def _sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     stop = (last == 46) | (last == 33) | (last == 63)
     lines = np.cumsum((w.buf == 10) | (w.buf == 13))
     stop[:-1] |= lines[w.starts[1:]] > lines[w.ends[:-1] - 1]
-    new = np.concatenate(([True], stop[:-1])) | np.concatenate(([True], w.doc[1:] != w.doc[:-1]))
-    first = np.flatnonzero(new)
-    size = np.diff(np.concatenate((first, [n])))
-    cut = np.repeat(size > LONG, size) & ((last == 44) | (w.hash & np.uint64(15) == 0))
-    new |= np.concatenate(([False], cut[:-1]))
-    first = np.flatnonzero(new)
+    stop |= (last == 44) | (w.hash & np.uint64(3) == 0)
+    first = np.flatnonzero(np.concatenate(([True], stop[:-1] | (w.doc[1:] != w.doc[:-1]))))
     return first, np.searchsorted(first, w.ptr)
 
 
@@ -97,8 +94,11 @@ def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     overlaps its own repeat counts as repeated. Columns of docs named _sentences_cut or _words_cut are replaced.
     """
     found = spans(docs, sentences, words)
+    # most runs stand in one place: only the hashes of all of them are counted, then the rest is worked on
+    often = staged(found.groupBy("h").count().where("count > 1").select("h"))
+    found = staged(found.join(small(often, often.count()), "h", "left_semi"))
     place = F.struct("doc_id", "row", "start")
-    first = found.groupBy("h").agg(F.min(place).alias("p"), F.max(place).alias("q")).where("p <> q").select("h", F.col("p.row").alias("r0"), F.col("p.start").alias("s0"))
+    first = found.groupBy("h").agg(F.min(place).alias("p")).select("h", F.col("p.row").alias("r0"), F.col("p.start").alias("s0"))
     again = found.select("h", "row", "start", "stop").join(first, "h").where("row <> r0 or start <> s0")
     cuts = again.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("_cuts"))
     base = docs.drop("_cuts", "_row", "_sentences_cut", "_words_cut")

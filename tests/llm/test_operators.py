@@ -202,3 +202,15 @@ def test_tail_of_a_long_item(spark):
     items = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     got = {x.doc_id: x.score for x in decontaminate.contamination(docs_of(spark, [(i, " ".join(t), "s") for i, t in enumerate(texts)]), items).collect()}
     assert {i: round(x, 9) for i, x in got.items()} == {1: 1, 2: 1}
+
+
+def test_passages_in_mid_sentence(spark):
+    r = np.random.default_rng(9)
+    say = lambda n: " ".join(f"q{k}" for k in r.integers(0, 50_000, n))
+    rows, passages = [], [say(51 + i % 10) for i in range(60)]
+    for i, p in enumerate(passages):
+        rows += [(i, f"{say(40)} {p} {say(40)}", "s"), (1000 + i, f"{say(33)}. {say(9)} {p} {say(7)}. {say(30)}", "s"), (2000 + i, f"{say(120)}. {say(20)}.", "s")]
+    got = {x.doc_id: x for x in substring.substring_dedup(docs_of(spark, rows)).collect()}
+    assert all(got[i].text == t for i, t, _ in rows if i < 1000 or i >= 2000)
+    cut = [got[1000 + i]._words_cut for i in range(60)]
+    assert min(cut) >= 20 and np.mean(cut) >= 45 and all(n <= len(p.split()) for n, p in zip(cut, passages))
