@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product over shifted space-filling curves.
 
 Vectors are projected to a few random directions, shifted and put on a Hilbert curve, several times anew. Each curve is cut into
-ranges of about equal size; a query looks at its own range and the next one on either side, on every curve. Candidates are
+ranges of about equal size, ordered inside a cell by one more direction of the curve; equal vectors share a place. A query looks at its own range and the next one on either side, on every curve. Candidates are
 scored in double precision on the original vectors, and the best of all curves are merged.
 """
 
@@ -48,30 +48,39 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+def along(x: np.ndarray, directions: np.ndarray) -> np.ndarray:
+    """x @ directions; equal rows always give the same bits, in any batch."""
+    return np.stack([products(x, np.broadcast_to(d, x.shape)) for d in directions.T], axis=1)
+
+
 class Curves:
     """Projections, shifts and range bounds."""
 
-    def __init__(self, sample: np.ndarray, ids: np.ndarray, ranges: int, curves: int = CURVES, seed: int = 5):
+    def __init__(self, sample: np.ndarray, ranges: int, curves: int = CURVES, seed: int = 5):
         rng, width = np.random.default_rng(seed), sample.shape[1]
         dims = min(DIMS, width)
         self.maps = [np.linalg.qr(rng.normal(size=(width, dims)))[0] for _ in range(curves)]
         self.shift = rng.uniform(0, 0.5, (curves, dims))
+        self.inner = [np.linalg.qr(rng.normal(size=(width, 1)))[0] for _ in range(curves)]
+        self.middle = [along(sample, d)[:, 0].mean() for d in self.inner]
+        self.reach = [8 * max(along(sample, d)[:, 0].std(), 1e-12) for d in self.inner]
         self.low, self.scale = [], []
         for m in self.maps:
-            y = sample @ m
+            y = along(sample, m)
             mid, spread = y.mean(0), np.maximum(y.std(0), 1e-12) * 2.5
             self.low.append(mid - spread)
             self.scale.append(4 * spread)
-        self.bounds = [np.quantile(self.key(k, sample, ids), np.arange(1, ranges) / ranges, method="lower") if len(sample) else np.empty(0, np.uint64) for k in range(curves)]
+        self.bounds = [np.quantile(self.key(k, sample), np.arange(1, ranges) / ranges, method="lower") if len(sample) else np.empty(0, np.uint64) for k in range(curves)]
 
-    def key(self, curve: int, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Curve place, with a hash of the id behind it so that equal places can be told apart."""
-        u = ((x @ self.maps[curve] - self.low[curve]) / self.scale[curve] + self.shift[curve]) * (1 << BITS)
-        tie = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(41)
+    def key(self, curve: int, x: np.ndarray) -> np.ndarray:
+        """Curve place, with the place along the inner direction behind it; of the vector alone."""
+        u = ((along(x, self.maps[curve]) - self.low[curve]) / self.scale[curve] + self.shift[curve]) * (1 << BITS)
+        inner = (along(x, self.inner[curve])[:, 0] - self.middle[curve]) / self.reach[curve] + 0.5
+        tie = (np.clip(inner, 0, 1 - 2.0**-24) * (1 << 23)).astype(np.uint64)
         return (hilbert(np.clip(u, 0, (1 << BITS) - 1).astype(np.int64), BITS) << np.uint64(23)) | tie
 
-    def range_of(self, curve: int, x: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.bounds[curve], self.key(curve, x, ids), "right")
+    def range_of(self, curve: int, x: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.bounds[curve], self.key(curve, x), "right")
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -117,10 +126,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
     rows = rows.where(F.size("v") == width)
     alike = Window.partitionBy(F.xxhash64("v"), F.hash("v")).orderBy("vec_id")
     kept = rows.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k + 1).drop("_n")
-    sample = rows.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    ranges = int(max(1, min(RANGES, n // LEAST)))
-    curves = Curves(np.stack(sample["v"].to_numpy()), sample["vec_id"].to_numpy(), ranges)
-    pieces = int(-(-n // (ranges * PIECE)))
+    kept = staged(kept)
+    m = kept.count()
+    sample = kept.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(SAMPLE).toPandas()
+    ranges = int(max(1, min(RANGES, m // LEAST)))
+    curves = Curves(np.stack(sample["v"].to_numpy()), ranges)
+    pieces = int(-(-m // (ranges * PIECE)))
     chunks = int(-(-3 * n // (every * ranges * CHUNK)))
     kind = np.float64 if double else np.float32
 
@@ -133,7 +144,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
                 body = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
                 for c in range(len(curves.maps)):
-                    at = curves.range_of(c, x, ids)
+                    at = curves.range_of(c, x)
                     for step in (-1, 0, 1) if query else (0,):
                         for other in range(pieces if query else chunks):
                             own = ids * 2654435761 % (1 << 31) % (chunks if query else pieces)

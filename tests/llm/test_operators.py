@@ -214,3 +214,20 @@ def test_passages_in_mid_sentence(spark):
     assert all(got[i].text == t for i, t, _ in rows if i < 1000 or i >= 2000)
     cut = [got[1000 + i]._words_cut for i in range(60)]
     assert min(cut) >= 20 and np.mean(cut) >= 45 and all(n <= len(p.split()) for n, p in zip(cut, passages))
+
+
+@pytest.mark.parametrize("noise", [0, 0.001])
+def test_neighbours_of_a_hot_vector(spark, noise):
+    r = np.random.default_rng(10)
+    x = r.normal(size=(9000, 32))
+    x[r.permutation(9000)[:3000]] = x[0] + noise * r.normal(size=(3000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    got = ann.nearest(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), every=60, k=20).collect()
+    q = np.arange(0, 9000, 60)
+    sims = ann.products(np.repeat(x[q].astype(float), 9000, 0), np.tile(x.astype(float), (len(q), 1))).reshape(len(q), 9000)
+    sims[np.arange(len(q)), q] = -np.inf
+    best = {(int(i), int(j)) for i, row in zip(q, sims) for j in np.lexsort((np.arange(9000), -row))[:20]}
+    hot = set(q[(sims > 0.99).sum(axis=1) > 1000].tolist())
+    found = {(g.query_id, g.vec_id) for g in got} & best
+    assert len(hot) > 20 and len(found) / len(best) >= 0.9
+    assert sum(i in hot for i, _ in found) / (20 * len(hot)) >= 0.95
