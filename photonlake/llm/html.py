@@ -11,6 +11,7 @@ import html as entities
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -151,6 +152,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
             marks[p] += marks[i]
             blocks[p] += blocks[i]
     whole = max(1.0, text[0])
+    kinds = [Counter(k.tag for k in node.kids) for node in nodes]
     out, above_bad, above_good, inside = [], [0] * n, [0] * n, [0] * n
     for i, node in enumerate(nodes):
         p = place[id(node.parent)] if i else 0
@@ -159,7 +161,7 @@ def features(nodes: list[Node]) -> list[list[float]]:
         above_bad[i], above_good[i] = (above_bad[p] if i else 0) + bad, (above_good[p] if i else 0) + good
         inside[i] = 2 if tag in ("nav", "aside", "footer", "form") else 1 if tag in ("article", "main") else inside[p] if i else 0
         brothers = nodes[p].kids if i else [node]
-        like = sum(b.tag == tag for b in brothers) if len(brothers) < 200 else len(brothers)
+        like = kinds[p][tag] if i else 1
         size = text[i]
         others = max(0.0, text[p] - size)
         out.append([_TAG_NO.get(tag, len(TAGS)), node.depth, node.good, node.bad, above_good[i], above_bad[i], inside[i], math.log1p(own[i]), math.log1p(size), size / whole, link[i] / max(1.0, size), marks[i] / max(1.0, size), size / tags[i], math.log1p(blocks[i]), len(node.kids), len(brothers), like / max(1, len(brothers)), math.log1p(others / max(1, len(brothers) - 1) if i else 0.0), size / max(1.0, text[p]), link[p] / max(1.0, text[p]), text[p] / tags[p], _TAG_NO.get(nodes[p].tag, len(TAGS)) if i else -1, i / n, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("p", "blockquote", "pre"), tag in ("header", "footer", "nav", "aside", "form")])

@@ -231,3 +231,10 @@ def test_neighbours_of_a_hot_vector(spark, noise):
     found = {(g.query_id, g.vec_id) for g in got} & best
     assert len(hot) > 20 and len(found) / len(best) >= 0.9
     assert sum(i in hot for i, _ in found) / (20 * len(hot)) >= 0.95
+
+
+def test_share_of_siblings_on_long_pages():
+    nodes = html.parse("<body><div>" + "<p>Some text.</p>" * 398 + "<h2>Title</h2><div>Buy it</div></div></body>")
+    at = [i for i, x in enumerate(nodes) if x.tag == "h2"] + [i for i, x in enumerate(nodes) if x.tag == "p"][:1]
+    rows = html.features(nodes)
+    assert [rows[i][15] for i in at] == [400, 400] and [rows[i][16] for i in at] == [1 / 400, 398 / 400]
