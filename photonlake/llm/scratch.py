@@ -33,3 +33,11 @@ def staged(df: DataFrame) -> DataFrame:
 def small(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if its counted rows are few enough."""
     return F.broadcast(df) if rows <= most else df
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """name, or a longer one, that is no column of df in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

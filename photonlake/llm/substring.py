@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line's end; each is also cut after a comma and
-after 1 word in 4 that a hash picks, so that its parts, called sentences from here on, do not depend on where a passage stands in it. From each
-one the shortest run of at least SENTENCES sentences and WORDS words is hashed (A-Z lower-cased, white space aside). The first place of a run
+A sentence ends after ``.``, ``!`` or ``?`` before white space, or at a line's end. It is also cut after each word whose hash is the
+least of some REACH words in a row, so that its parts, called sentences from here on, do not depend on where a passage stands in it, and
+REACH words in a row always hold a cut. From each one the shortest run of at least SENTENCES sentences and WORDS words is hashed (A-Z
+lower-cased, white space aside): any passage of ``2 * REACH + WORDS - 1`` words holds a whole run. The first place of a run
 is the one of the smallest (doc_id, row hash, sentence); sentences that any other place covers go.
 """
 
@@ -13,16 +14,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import small, staged
+from .scratch import staged, unused
 from .text import Words, mix, raw_texts, slices
 
 SENTENCES, WORDS = 2, 20
+#: Words in a row of which the one of the least hash ends a sentence.
+REACH = 10
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 _INVERSE = np.uint64(pow(0xC2B2AE3D27D4EB4F, -1, 1 << 64))
 _WHITE = np.zeros(256, bool)
 _WHITE[[32, 9, 10, 11, 12, 13]] = True
 
 
+def _least(w: Words) -> np.ndarray:
+    """Which words have the least hash of some REACH words in a row of their text; of words as small all."""
+    n = len(w.hash) - REACH + 1
+    if n <= 0:
+        return np.zeros(len(w.hash), bool)
+    low, width = w.hash, 1
+    while width < REACH:
+        step = min(width, REACH - width)
+        low = np.minimum(low[: len(low) - step], low[step:])
+        width += step
+    low = np.where(w.doc[:n] == w.doc[REACH - 1 :], low, np.uint64(0))
+    # a word is the least of a window if the greatest of the minima of its windows is its own hash
+    high, width = np.concatenate((np.zeros(REACH - 1, np.uint64), low, np.zeros(REACH - 1, np.uint64))), 1
+    while width < REACH:
+        step = min(width, REACH - width)
+        high = np.maximum(high[: len(high) - step], high[step:])
+        width += step
+    return high == w.hash
+
+
 def _sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """First words of all sentences, and where each text's sentences begin."""
     n = len(w.hash)
@@ -32,7 +55,7 @@ def _sentences(w: Words) -> tuple[np.ndarray, np.ndarray]:
     stop = (last == 46) | (last == 33) | (last == 63)
     lines = np.cumsum((w.buf == 10) | (w.buf == 13))
     stop[:-1] |= lines[w.starts[1:]] > lines[w.ends[:-1] - 1]
-    stop |= (last == 44) | (w.hash & np.uint64(3) == 0)
+    stop |= _least(w)
     first = np.flatnonzero(np.concatenate(([True], stop[:-1] | (w.doc[1:] != w.doc[:-1]))))
     return first, np.searchsorted(first, w.ptr)
 
@@ -96,14 +119,15 @@ def substring_dedup(docs: DataFrame, sentences: int = SENTENCES, words: int = WO
     found = spans(docs, sentences, words)
     # most runs stand in one place: only the hashes of all of them are counted, then the rest is worked on
     often = staged(found.groupBy("h").count().where("count > 1").select("h"))
-    found = staged(found.join(small(often, often.count()), "h", "left_semi"))
+    found = staged(found.join(often, "h", "left_semi"))
     place = F.struct("doc_id", "row", "start")
     first = found.groupBy("h").agg(F.min(place).alias("p")).select("h", F.col("p.row").alias("r0"), F.col("p.start").alias("s0"))
     again = found.select("h", "row", "start", "stop").join(first, "h").where("row <> r0 or start <> s0")
-    cuts = again.groupBy("row").agg(F.collect_set(F.struct("start", "stop")).alias("_cuts"))
-    base = docs.drop("_cuts", "_row", "_sentences_cut", "_words_cut")
+    base = docs.drop("_sentences_cut", "_words_cut")
     names = base.columns
-    work = base.withColumn("_row", F.xxhash64("doc_id", "text")).join(cuts.withColumnRenamed("row", "_row"), "_row", "left").select(*names, F.expr("transform(_cuts, c -> c.start)").alias("_a"), F.expr("transform(_cuts, c -> c.stop)").alias("_z"))
+    row, cut = unused(docs, "_row"), unused(docs, "_cuts")
+    cuts = again.groupBy(F.col("row").alias(row)).agg(F.collect_set(F.struct("start", "stop")).alias(cut))
+    work = base.withColumn(row, F.xxhash64("doc_id", "text")).join(cuts, row, "left").select(*names, F.col(cut)["start"].alias(row), F.col(cut)["stop"].alias(cut))
     schema = base.select("*").schema.add("_sentences_cut", "long").add("_words_cut", "long")
     text_at, chars_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 
