@@ -2,7 +2,9 @@
 
 Pieces come from a public vocabulary file whose scores give their first weights; expectation maximisation over the training words then
 fits the weights. A word is its bytes after a mark for its start; any byte is a piece as well, so each word has a
-segmentation. A text's probability is the product of its words' and of the end's, so the forward recursion runs once for each different
+segmentation. Each training word, and the end, also is an edge of its own over its whole length, so what is gathered grows with the corpus:
+with c of N training tokens it weighs c / (N + V), V being the number of different ones, and the paths of pieces weigh V / (N + V) in all.
+A text's probability is the product of its words' and of the end's, so the forward recursion runs once for each different
 word. Words are counted by a shuffle; the most frequent ones, of a bounded number, go to all tasks, the others meet
 their scores in a join.
 """
@@ -22,9 +24,8 @@ from .text import Words, raw_texts, slices
 
 #: Most words whose scores go to all tasks (24 bytes each).
 TOP = 200_000
-ROUNDS = 2
-#: Longest piece in bytes that is used.
-LONGEST = 24
+#: Most rounds of the fit, which ends before if a round adds less than this share to the log-likelihood.
+ROUNDS, GAIN = 6, 0.002
 #: Words of more bytes than this are worked on one at a time.
 WIDE = 64
 PRIOR = 0.1
@@ -49,7 +50,7 @@ def pieces(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
         if model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i):
             continue
         piece = model.id_to_piece(i).replace("▁", " ").encode()
-        if piece.strip() and b" " not in piece[1:] and len(piece) <= LONGEST:
+        if piece.strip() and b" " not in piece[1:]:
             low = piece.lower()
             found[low] = max(found.get(low, -1e9), -np.log(10 - model.get_score(i)))
     for b in range(256):
@@ -73,7 +74,7 @@ class Lattice:
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.array(list(prefixes.values()))[order]
         self.longest = max(map(len, names))
-        self.table = dict(zip(names, range(len(names))))
+        self.table = prefixes
 
     @staticmethod
     def _hash(piece: bytes) -> int:
@@ -119,29 +120,37 @@ class Lattice:
                 np.add.at(expected, piece, counts[live] * np.exp(alpha[i, live] + self.weights[piece] + beta[i + size, live] - alpha[m, live]))
         return alpha[m]
 
-    def forward_one(self, word: bytes) -> float:
+    def forward_one(self, word: bytes, count: float = 0.0, expected: np.ndarray | None = None) -> float:
         """The same for one word of any length, in time that grows with its length."""
-        m = len(word)
-        alpha = [float("-inf")] * (m + 1)
+        m, edges = len(word), []
+        alpha = np.full(m + 1, -np.inf)
         alpha[0] = 0.0
         for i in range(m):
             for size in range(1, min(self.longest, m - i) + 1):
                 k = self.table.get(word[i : i + size])
-                if k is not None:
-                    a, b = alpha[i + size], alpha[i] + self.weights[k]
-                    alpha[i + size] = max(a, b) + np.log1p(np.exp(-abs(a - b))) if a > float("-inf") else b
+                if k is None:
+                    break
+                if k >= 0:
+                    alpha[i + size] = np.logaddexp(alpha[i + size], alpha[i] + self.weights[k])
+                    edges.append((i, size, k))
+        if expected is not None:
+            beta = np.full(m + 1, -np.inf)
+            beta[m] = 0.0
+            for i, size, k in reversed(edges):
+                w = self.weights[k] + beta[i + size]
+                beta[i] = np.logaddexp(beta[i], w)
+                expected[k] += count * np.exp(alpha[i] + w - alpha[m])
         return float(alpha[m])
 
     def words(self, words: list[bytes], counts: np.ndarray | None = None, expected: np.ndarray | None = None) -> np.ndarray:
-        """Log marginals of words, each given without its start mark. Words wider than WIDE bytes are scored but add nothing to ``expected``."""
+        """Log marginals of words, each given without its start mark; with counts, the pieces' expected uses are added to ``expected``."""
         out = np.empty(len(words))
         size = np.fromiter(map(len, words), np.int64, len(words))
         for m in np.unique(size):
             at = np.flatnonzero(size == m)
             if m > WIDE:
-                if expected is None:
-                    for i in at:
-                        out[i] = self.forward_one(b" " + words[i])
+                for i in at:
+                    out[i] = self.forward_one(b" " + words[i], 0.0 if counts is None else counts[i], expected)
                 continue
             for k in range(0, len(at), 8192):
                 part = at[k : k + 8192]
@@ -182,26 +191,34 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def fit(counts: DataFrame, texts: int, path: str | None = None, rounds: int = ROUNDS) -> tuple[Lattice, float]:
-    """Lattice and the log weight of the end, by EM over the training words; the state that is summed is as large as the vocabulary."""
+    """Lattice and the log probability that the end, and no word, comes next, by EM over the training words; the state that is summed is as large as the vocabulary."""
     names, weights = pieces(path)
     prior = PRIOR + 1000 * np.exp(weights)
     used = counts.where("c > 0").select("word", "c")
-    end = 0.0
+    starts = np.array([n[:1] == b" " for n in names])
+    end, before = 0.0, None
     for _ in range(rounds):
 
         def expect(batches, weights=weights):
-            lattice, total = Lattice(names, weights), np.zeros(len(names))
+            lattice, total, ll = Lattice(names, weights), np.zeros(len(names)), 0.0
             for b in batches:
                 if b.num_rows:
-                    lattice.words(b.column(0).to_pylist(), b.column(1).to_numpy().astype(float), total)
+                    c = b.column(1).to_numpy().astype(float)
+                    ll += float(c @ lattice.words(b.column(0).to_pylist(), c, total))
             at = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["piece", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], ll))], ["piece", "x"])
 
-        total = prior.copy()
+        total, ll = prior.copy(), 0.0
         for row in used.mapInArrow(expect, "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x")).orderBy("piece").collect():
-            total[row.piece] += row.x
+            if row.piece < 0:
+                ll = row.x
+            else:
+                total[row.piece] += row.x
         every = total.sum() + texts + 1
-        weights, end = np.log(total / every), float(np.log((texts + 1) / every))
+        weights, end = np.log(total / every), float(np.log((texts + 1) / (total[starts].sum() + texts + 1)))
+        if before is not None and ll - before < GAIN * abs(before):
+            break
+        before = ll
     return Lattice(names, weights), end
 
 
@@ -210,7 +227,7 @@ def lm_scores(docs: DataFrame, train, path: str | None = None, top: int = TOP) -
 
     ``train``: a boolean column, which rows to learn from; null is false. Tokens are the words, A-Z lower-cased, and one end. base_score is the log10 probability
     by word counts, 0.5 added to each; score the lattice's. Null and empty texts have the end alone. Repeated rows count and
-    are scored each. Without training rows all words are new to both models. An empty table gives an empty one; more columns are ignored.
+    are scored each. Without training rows all words are new to both models and the lattice has pieces alone. An empty table gives an empty one; more columns are ignored.
     """
     rows = docs.select(F.col("doc_id"), F.coalesce(train, F.lit(False)).alias("train"), F.col("text").cast("string").alias("text"))
     counts = staged(word_counts(rows.select("train", "text")))
@@ -219,10 +236,16 @@ def lm_scores(docs: DataFrame, train, path: str | None = None, top: int = TOP) -
     total, kinds = got.n + texts, got.v + (texts > 0)
     scale = total + 0.5 * (kinds + 1)
     lattice, end = fit(counts, texts, path)
+    weight = max(kinds, 1)  # of the paths of pieces, in tokens
+
+    def log10_of(c, lp):
+        with np.errstate(divide="ignore"):
+            return (np.logaddexp(np.log(c), np.log(weight) + lp) - np.log(total + weight)) / np.log(10)
 
     def score(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(lattice.words(b.column(0).to_pylist()) / np.log(10))], ["h", "c", "n", "lp"])
+            lp = log10_of(b.column(2).to_numpy().astype(float), lattice.words(b.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), b.column(3), pa.array(lp)], ["h", "c", "n", "lp"])
 
     scored = staged(counts.mapInArrow(score, "h long, c long, n long, lp double"))
     bins = scored.groupBy(F.floor(F.log2("n") * 16).alias("bin")).agg(F.count("*").alias("k"), F.min("n").alias("least")).orderBy(F.desc("bin")).collect()
@@ -236,7 +259,7 @@ def lm_scores(docs: DataFrame, train, path: str | None = None, top: int = TOP) -
     keys, c_top, lp_top = (np.empty(0, np.int64), np.empty(0), np.empty(0)) if common is None else (common["h"].to_numpy(), common["c"].to_numpy(), common["lp"].to_numpy())
     base_top, known_top = np.log10((c_top + 0.5) / scale), (c_top > 0).astype(np.int64)
     base_end = float(np.log10(((texts if texts else 0) + 0.5) / scale))
-    end_known = int(texts > 0)
+    end_known, score_end = int(texts > 0), float(log10_of(float(texts), end))
 
     def of(batches):
         for b in batches:
@@ -250,7 +273,7 @@ def lm_scores(docs: DataFrame, train, path: str | None = None, top: int = TOP) -
                 weigh = lambda v: np.bincount(w.doc[hit], v[at[hit]], w.n) if len(keys) else np.zeros(w.n)
                 rare = ~hit
                 ends = np.concatenate(([0], np.cumsum(np.bincount(w.doc[rare], minlength=w.n)))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(w.count + 1), pa.array(weigh(known_top).astype(np.int64) + end_known), pa.array(weigh(base_top) + base_end), pa.array(weigh(lp_top) + end / np.log(10)), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare]))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(a, e - a), pa.array(w.count + 1), pa.array(weigh(known_top).astype(np.int64) + end_known), pa.array(weigh(base_top) + base_end), pa.array(weigh(lp_top) + score_end), pa.ListArray.from_arrays(pa.array(ends), pa.array(h[rare]))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "rare"])
 
     schema = rows.select("doc_id").schema
     for name, kind in (("n_tokens", "long"), ("n_known", "long"), ("base_score", "double"), ("score", "double"), ("rare", ArrayType(LongType()))):
