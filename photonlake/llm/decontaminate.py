@@ -2,7 +2,8 @@
 
 All word n-grams of an item are its seeds, so that an edited or partial copy is found by whichever are left. Where a document
 has a seed, and enough of the item's words around it, those words are aligned with the item's; the score is the best local alignment over the item's number of words,
-1 for a verbatim copy; an item of more than SEGMENT words scores as the best of its parts, each over its own number of words. The benchmark is worked on in blocks of bounded size, documents are never shuffled.
+1 for a verbatim copy; an item of more than SEGMENT words scores as the best of its parts, each over its own number of words. An
+item of fewer words than a seed has is one seed. The benchmark is worked on in blocks of bounded size, documents are never shuffled.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .text import Words, raw_texts, slices
+from .text import Words, mix, raw_texts, slices
 
 N, THRESHOLD = 3, 0.45
 MATCH, MISMATCH, GAP = 1.0, -0.4, -0.4
@@ -25,10 +26,11 @@ LANES, HITS = 2048, 4 << 20
 
 
 class Index:
-    """Seeds of a block of items."""
+    """Seeds of a block of items; sizes: the numbers of words that they have."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], grams: list[np.ndarray]):
+    def __init__(self, ids: list[int], words: list[np.ndarray], grams: list[np.ndarray], n: int):
         self.ids, self.words = ids, words
+        self.sizes = sorted({min(n, len(x)) for x in words})
         h = np.concatenate(grams) if ids else np.empty(0, np.uint64)
         seg = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if ids else np.empty(0, np.int64)
         at = np.concatenate([np.arange(len(g)) for g in grams]) if ids else np.empty(0, np.int64)
@@ -55,10 +57,21 @@ def align(item: np.ndarray, windows: np.ndarray, size: np.ndarray) -> np.ndarray
     return best
 
 
-def _hits(raw: list, index: Index, n: int, threshold: float):
+def _seeds(w: Words, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, first word and hash of every run of k words; runs of other lengths have other hashes."""
+    doc, at, h = w.grams(k)
+    return doc, at, mix(h ^ np.uint64(k))
+
+
+def _hits(raw: list, index: Index, threshold: float):
     """Text number, item id and score of every text and item that reach the threshold."""
     w = Words(raw)
-    doc, at, h = w.grams(n)
+    doc, at, h = (np.concatenate(x) for x in zip(*[_seeds(w, k) for k in index.sizes])) if index.sizes else (np.empty(0, np.int64),) * 3
+    if len(index.sizes) > 1:
+        order = np.argsort(doc, kind="stable")
+        doc, at, h = doc[order], at[order], h[order]
+    if not len(h):
+        return []
     some = np.flatnonzero(index.quick[h & np.uint64((1 << 20) - 1)])
     left, right = np.searchsorted(index.h, h[some], "left"), np.searchsorted(index.h, h[some], "right")
     count = right - left
@@ -151,23 +164,27 @@ def _blocks(benchmark: DataFrame):
 def _index(ids: list[int], texts: list[str], n: int) -> Index:
     w = Words([t.encode() for t in texts])
     names, words, grams = [], [], []
-    doc, at, h = w.grams(n)
+    seeds = {k: _seeds(w, k) for k in range(1, n + 1)}
     for d in range(w.n):
-        mine, own = w.hash[w.ptr[d] : w.ptr[d + 1]], h[np.searchsorted(doc, d) : np.searchsorted(doc, d + 1)]
+        mine = w.hash[w.ptr[d] : w.ptr[d + 1]]
+        k = min(n, len(mine))
+        if not k:
+            continue
+        doc, _, h = seeds[k]
+        own = h[np.searchsorted(doc, d) : np.searchsorted(doc, d + 1)]
         parts = -(-len(mine) // SEGMENT)
-        for k in range(parts):
-            a, z = len(mine) * k // parts, len(mine) * (k + 1) // parts
-            if z - a >= n:
-                names.append(ids[d])
-                words.append(mine[a:z])
-                grams.append(own[a : z - n + 1])
-    return Index(names, words, grams)
+        for part in range(parts):
+            a, z = len(mine) * part // parts, len(mine) * (part + 1) // parts
+            names.append(ids[d])
+            words.append(mine[a:z])
+            grams.append(own[a : z - k + 1])
+    return Index(names, words, grams, n)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
     """doc_id, item_id, score of every document and item (item_id, text) that align at or above the threshold.
 
-    Null and empty texts, and items of fewer than n words, match nothing; items without item_id are left out. Repeated rows of docs give
+    Null and empty texts match nothing, an item of fewer than n words matches where it stands whole; items without item_id are left out. Repeated rows of docs give
     repeated rows; of items that share an id the best counts. More columns are ignored. Empty tables give an empty one.
     """
     out = None
@@ -178,7 +195,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
             for b in batches:
                 raw = raw_texts(b.column(1))
                 for a, e in slices(raw):
-                    got = _hits(raw[a:e], index, n, threshold)
+                    got = _hits(raw[a:e], index, threshold)
                     at = pa.array([a + d for d, _, _ in got], pa.int64())
                     yield pa.RecordBatch.from_arrays([b.column(0).take(at), pa.array([i for _, i, _ in got], pa.int64()), pa.array([s for _, _, s in got], pa.float64())], ["doc_id", "item_id", "score"])
 
@@ -187,9 +204,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double")
 
 
-def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N) -> DataFrame:
-    """The rows of docs, with all their columns, that align with no item at or above the threshold."""
-    for ids, texts in _blocks(benchmark):
+def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, n: int = N, least: int = N) -> DataFrame:
+    """The rows of docs, with all their columns, that align with no item of at least ``least`` words at or above the threshold.
+
+    A word or two of a shorter item are no proof of a leak, so contamination() reports them but no row goes for them. Null and empty texts
+    stay, repeated rows stay or go alike, and an empty benchmark leaves all rows.
+    """
+    for ids, texts in _blocks(benchmark.where(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) >= least)):
         index, names = _index(ids, texts, n), docs.columns
 
         def of(batches, index=index, at=names.index("text")):
@@ -197,7 +218,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THR
                 raw = raw_texts(b.column(at))
                 keep = np.ones(len(raw), bool)
                 for a, e in slices(raw):
-                    keep[[a + d for d, _, _ in _hits(raw[a:e], index, n, threshold)]] = False
+                    keep[[a + d for d, _, _ in _hits(raw[a:e], index, threshold)]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(of, docs.schema)
