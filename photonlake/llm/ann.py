@@ -7,6 +7,8 @@ scored in double precision on the original vectors, and the best of all curves a
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 from .scratch import staged
 
 CURVES, DIMS, BITS = 12, 8, 5
-#: Ranges of a curve, fewer if a range would have less than LEAST vectors; a query sees 3 of them.
-RANGES, LEAST = 20, 256
+#: A query sees the ranges of a curve that hold its own key and the ones beside it. A range has SHARE of all vectors, and at least LEAST.
+SHARE, LEAST = 0.05, 256
 #: Vectors, the first in the order of a seeded hash, on which scales and range bounds are fit.
 SAMPLE = 20_000
 #: Vectors and queries that meet in one task; a larger range is cut into pieces.
@@ -109,30 +111,38 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v")).where("vec_id is not null and v is not null and size(v) > 0").where(ok).dropDuplicates()
 
 
-def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 20, k: int = 20, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row (vec_id, embedding) whose vec_id is divisible by ``every``.
 
-    Rows without vec_id, with a null, empty or zero vector or one with null or non-finite components take no part, nor do vectors of another
-    length than the commonest. Repeated rows count once; of rows that share a vec_id the best score counts. Of equal vectors only the k + 1
-    smallest ids can be among the nearest, so the others stay out as candidates, not as queries. Few vectors are searched in full. An empty table gives an empty one.
+    Rows without vec_id, with a null, empty or zero vector or one with null or non-finite components take no part. Vectors of each length are
+    searched among themselves. Repeated rows count once; of rows that share a vec_id the best score counts. Of equal vectors only the k + 1
+    smallest ids can be among the nearest, so the others stay out as candidates, not as queries. An empty table gives an empty one.
+
+    A window is 3 ranges of max(least, share * n) of the n vectors on each curve. With share 0 windows are of a fixed number of vectors and
+    work grows as queries do; that suits vectors with structure. Without structure (next to equal distances) recall then falls as n
+    grows, and only a share of all vectors keeps it.
     """
     spark = vectors.sparkSession
     double = vectors.select(F.col("embedding")).dtypes[0][1] == "array<double>"
-    rows = staged(usable(vectors))
-    sizes = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
-    if sizes is None:
+    rows = staged(usable(vectors).withColumn("w", F.size("v")))
+    found = [_search(rows.where(F.col("w") == x.w).drop("w"), x.w, x.n, x.q, every, k, share, least, double) for x in rows.groupBy("w").agg(F.count("*").alias("n"), F.count_if(F.col("vec_id") % every == 0).alias("q")).orderBy("w").collect() if x.q]
+    if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    width, n = sizes["w"], sizes["count"]
-    rows = rows.where(F.size("v") == width)
+    best = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+
+
+def _search(rows: DataFrame, width: int, n: int, queries: int, every: int, k: int, share: float, least: int, double: bool) -> DataFrame:
+    """query_id, vec_id, score of the best that each curve's window holds; n rows of ``width`` numbers, of which some are queries."""
     alike = Window.partitionBy(F.xxhash64("v"), F.hash("v")).orderBy("vec_id")
-    kept = rows.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k + 1).drop("_n")
-    kept = staged(kept)
+    kept = staged(rows.withColumn("_n", F.row_number().over(alike)).where(F.col("_n") <= k + 1).drop("_n"))
     m = kept.count()
     sample = kept.orderBy(F.xxhash64(F.lit(5), "vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    ranges = int(max(1, min(RANGES, m // LEAST)))
+    ranges = int(max(1, m // max(least, share * m)))
     curves = Curves(np.stack(sample["v"].to_numpy()), ranges)
     pieces = int(-(-m // (ranges * PIECE)))
-    chunks = int(-(-3 * n // (every * ranges * CHUNK)))
+    chunks = int(-(-3 * queries // (ranges * CHUNK)))
     kind = np.float64 if double else np.float32
 
     def deal(query):
@@ -166,10 +176,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20) -> DataFrame:
         a, b, s = zip(*[_best(x[q][i : i + 256], ids[q][i : i + 256], x[~q], ids[~q], k) for i in range(0, int(q.sum()), 256)])
         return pd.DataFrame({"query_id": np.concatenate(a), "vec_id": np.concatenate(b), "score": np.concatenate(s)})
 
-    found = dealt.groupBy("curve", "range", "piece", "chunk").applyInPandas(search, "query_id long, vec_id long, score double")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.select("query_id", rank.alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    return dealt.groupBy("curve", "range", "piece", "chunk").applyInPandas(search, "query_id long, vec_id long, score double")
 
 
 def op5_hilbert_neighbours(spark, sf_dir: str) -> DataFrame:
