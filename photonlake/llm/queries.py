@@ -8,6 +8,7 @@ from .html import op7_main_text
 from .jaccard import ORACLE_SQL as JACCARD_SQL
 from .jaccard import op8_jaccard_join
 from .lattice import op9_lattice
+from .mixing import ORACLE_SQL as MIX_SQL
 from .mixing import op1_mix
 from .quality import op10_quality
 from .substring import op6_substring_dedup
@@ -28,4 +29,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op4_merkle_audit": AUDIT_SQL, "op8_jaccard_join": JACCARD_SQL}
+ORACLE: dict[str, str] = {"op1_mix": MIX_SQL, "op4_merkle_audit": AUDIT_SQL, "op8_jaccard_join": JACCARD_SQL}
