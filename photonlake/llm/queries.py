@@ -12,6 +12,7 @@ from .mixing import ORACLE_SQL as MIX_SQL
 from .mixing import op1_mix
 from .quality import op10_quality
 from .substring import op6_substring_dedup
+from .url_filter import ORACLE_SQL as URL_SQL
 from .url_filter import op3_url_filter
 from .warc import ORACLE_SQL as AUDIT_SQL
 from .warc import op4_merkle_audit
@@ -29,4 +30,4 @@ QUERIES = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op1_mix": MIX_SQL, "op4_merkle_audit": AUDIT_SQL, "op8_jaccard_join": JACCARD_SQL}
+ORACLE: dict[str, str] = {"op1_mix": MIX_SQL, "op3_url_filter": URL_SQL, "op4_merkle_audit": AUDIT_SQL, "op8_jaccard_join": JACCARD_SQL}

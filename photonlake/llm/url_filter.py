@@ -2,8 +2,8 @@
 
 The urls that rules allow and those that they block each give a Markov model of the characters of host and path, digits as one sign.
 Orders 0 to ORDER - 1 are blended by Witten-Bell: a context weighs its own counts by how many different signs have followed it,
-the rest comes from the next shorter context. A url's score is the mean log-likelihood difference of a sign; the
-threshold is the one that best tells the two classes of urls apart.
+the rest comes from the next shorter context. A url's score is the mean log-likelihood difference of a sign. The models learn
+from 3 of 4 different urls, by a hash, and the threshold is the one that best tells the classes apart on the fourth.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from .scratch import small, staged
 ORDER = 4
 #: Score bins a unit for the calibration, which looks at scores from -SPAN to SPAN.
 BINS, SPAN = 100, 20
+#: One part in so many is for the calibration.
+FOLDS = 4
 #: verdict, host, path
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,7 +57,7 @@ def _grams(df: DataFrame, *keep: str) -> DataFrame:
 def model(signed: DataFrame) -> DataFrame:
     """gram, ratio: the log of the likelihood of a run's last sign for allowed urls over that for blocked ones.
 
-    signed: signs, verdict (null where no rule covers), n (times that it occurs). Runs without a counted context fall back to shorter ones, at last to
+    signed: signs, verdict (null where nothing is to be learnt), n (times that it occurs). Runs without a counted context fall back to shorter ones, at last to
     an even chance for each sign. One row for each different run of signs, of which there are 42 ** ORDER at most.
     """
     base = staged(_grams(signed.withColumn("yes", F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).withColumn("no", F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)), "yes", "no").groupBy("gram").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")))
@@ -80,17 +82,18 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     """page_id, host, path, rule, verdict, score of every row of pages (page_id, url).
 
     A null url, or one without ``://``, has an empty host and path, no rule, and is judged by the models as an empty string is. Repeated rows
-    are judged alike. If the rules cover no url of one class, the threshold is 0. score is null where a rule decides. An
+    are judged alike. If the calibration part has no url of one class, the threshold is 0. score is null where a rule decides. An
     empty table gives an empty one; more columns are ignored.
     """
     rows = pages.select("page_id", F.col("url").cast("string").alias("url")).select("page_id", host_of("url").alias("host"), path_of("url").alias("path"), _signs("url").alias("signs"))
     rows = rows.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", "signs", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("fixed"))
     texts = staged(rows.groupBy("signs", F.col("fixed").alias("verdict")).agg(F.count("*").alias("n")))
-    ratios = staged(model(texts))
+    held = F.conv(F.left(F.md5("signs"), F.lit(4)), 16, 10).cast("int") % FOLDS == 0
+    ratios = staged(model(texts.withColumn("verdict", F.when(~held, F.col("verdict")))))
     n = ratios.count()
     grams = _grams(texts, "signs", "verdict", "n").join(small(ratios, n), "gram")
     scored = staged(grams.groupBy("signs", "verdict", "n").agg((F.sum("ratio") / F.count("*")).alias("score")))
-    bins = scored.where("verdict is not null").groupBy(F.floor(F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("score"))) * BINS).alias("bin")).agg(
+    bins = scored.where(F.col("verdict").isNotNull() & held).groupBy(F.floor(F.greatest(F.lit(-SPAN), F.least(F.lit(SPAN), F.col("score"))) * BINS).alias("bin")).agg(
         F.sum(F.when(F.col("verdict") == "allow", F.col("n")).otherwise(0)).alias("yes"), F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0)).alias("no"))
     every = Window.partitionBy(F.lit(0))
     below = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,4 +108,39 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
-    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return url_filter(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("score")
+
+
+def _sql() -> str:
+    """The same rows for the rules above."""
+    marks = r"[^a-z0./:_%=&+,;@!*''()\-]"
+    fit = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+    best = sorted(RULES, key=lambda r: (len(r[1] + r[2]), len(r[1]), r[0] == "block"), reverse=True)
+    case = lambda pick: "CASE " + " ".join(f"WHEN {fit(h, p)} THEN '{pick(v, h + p)}'" for v, h, p in best) + " END"
+    orders, prior = "", "1 / 42.0::DOUBLE"
+    prob = {"yes": prior, "no": prior}
+    joins = ""
+    for k in range(1, ORDER + 1):
+        orders += f""",
+c{k} AS (SELECT *, sum(yes) OVER (PARTITION BY left(t, {k - 1})) AS yes_all, sum(no) OVER (PARTITION BY left(t, {k - 1})) AS no_all, count(*) FILTER (yes > 0) OVER (PARTITION BY left(t, {k - 1})) AS yes_kinds, count(*) FILTER (no > 0) OVER (PARTITION BY left(t, {k - 1})) AS no_kinds
+  FROM (SELECT right(gram, {k}) AS t, sum(yes)::DOUBLE AS yes, sum(no)::DOUBLE AS no FROM b GROUP BY ALL))"""
+        joins += f" JOIN c{k} ON c{k}.t = right(b.gram, {k})"
+        for c in prob:
+            weight = f"(c{k}.{c}_all + c{k}.{c}_kinds)"
+            prob[c] = f"CASE WHEN {weight} > 0 THEN (c{k}.{c} + c{k}.{c}_kinds * {prob[c]}) / {weight} ELSE {prob[c]} END"
+    return f"""
+WITH h AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+u AS (SELECT *, {case(lambda v, r: r)} AS rule, {case(lambda v, r: v)} AS fixed,
+  '{"^" * (ORDER - 1)}' || regexp_replace(translate(host || path, '{_UPPER}123456789', '{_LOWER}000000000'), '{marks}', '~', 'g') || '$' AS signs FROM h),
+x AS (SELECT signs, fixed, count(*) AS n, CAST('0x' || left(md5(signs), 4) AS BIGINT) % {FOLDS} = 0 AS held FROM u GROUP BY ALL),
+g AS (SELECT signs, fixed, n, held, substr(signs, i, {ORDER}) AS gram FROM (SELECT *, unnest(range(1, length(signs) - {ORDER - 2})) AS i FROM x)),
+b AS (SELECT gram, sum(CASE WHEN fixed = 'allow' AND NOT held THEN n ELSE 0 END) AS yes, sum(CASE WHEN fixed = 'block' AND NOT held THEN n ELSE 0 END) AS no FROM g GROUP BY gram){orders},
+r AS (SELECT b.gram, ln({prob["yes"]}) - ln({prob["no"]}) AS ratio FROM b{joins}),
+s AS (SELECT signs, fixed, n, held, sum(ratio) / count(*) AS score FROM g JOIN r USING (gram) GROUP BY ALL),
+i AS (SELECT floor(greatest(-{SPAN}, least({SPAN}, score)) * {BINS}) AS bin, sum(n) FILTER (fixed = 'allow') AS yes, sum(n) FILTER (fixed = 'block') AS no FROM s WHERE held AND fixed IS NOT NULL GROUP BY bin),
+k AS (SELECT bin, coalesce(sum(no) OVER w, 0) / sum(no) OVER () - coalesce(sum(yes) OVER w, 0) / sum(yes) OVER () AS gain FROM i WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT coalesce((SELECT bin / {BINS} FROM k WHERE gain IS NOT NULL ORDER BY gain DESC, abs(bin), bin DESC LIMIT 1), 0) AS cut)
+SELECT page_id, host, path, rule, coalesce(u.fixed, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM cut, u LEFT JOIN s ON s.signs = u.signs AND s.fixed IS NULL"""
+
+
+ORACLE_SQL = _sql()
