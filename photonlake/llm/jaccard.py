@@ -16,7 +16,7 @@ from bisect import bisect_left
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -27,6 +27,12 @@ from .text import Words, mix, raw_texts, slices
 LOW = 0.25
 #: Frequencies are told apart up to this one.
 MOST_DF = 4096
+#: One class in so many is looked at to find the shingles that may have very many, which are those that LIKELY of these classes have.
+PART, LIKELY = 64, 256
+#: Classes that a task keeps in mind while it reads.
+SEEN = 1 << 20
+#: Columns of a block of prefixes that are multiplied at once.
+COLUMNS = 8192
 #: Candidates of one query that are searched in one go.
 CHUNK = 256
 #: Classes of a list up to which all its pairs are candidates, and in a block of a longer one.
@@ -64,10 +70,11 @@ def row_key():
 
 
 def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, row (hash of doc_id and text), n (size of the set), cls (the set's class), n_low, toks (the low hashes, or the prefix if that is longer)."""
+    """doc_id, row (hash of doc_id and text), n (size of the set), cls (the set's class), n_low, toks (the low hashes, or the prefix if that is longer; a class has none where its task has just given them)."""
     low = np.uint64(LOW * 2**64)
 
     def of(batches):
+        given: set[int] = set()
         for batch in batches:
             n, cls, lows, toks = [], [], [], []
             for x in _sets(batch.column(2), k):
@@ -75,7 +82,10 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 n.append(len(x))
                 cls.append(_class_of(x))
                 lows.append(few)
-                toks.append((x[: max(few, prefix_length(len(x), num, den) if len(x) else 0)] ^ _TOP).view(np.int64))
+                toks.append((x[: max(few, prefix_length(len(x), num, den) if len(x) else 0) if cls[-1] not in given else 0] ^ _TOP).view(np.int64))
+                given.add(cls[-1])
+            if len(given) > SEEN:
+                given.clear()
             offsets = np.concatenate(([0], np.cumsum([len(t) for t in toks]))).astype(np.int32)
             values = np.concatenate(toks) if toks else np.empty(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(lows, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "row", "n", "cls", "n_low", "toks"])
@@ -84,7 +94,18 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 
 
 def frequencies(postings: DataFrame) -> DataFrame:
-    """tok, cls, df of the shingles that two classes or more have, from tok, cls: one shuffle; lists pass through in a stream."""
+    """tok, cls, df of the shingles that two classes or more have, from tok, cls. Lists that may be very long are counted in two steps, apart from the rest."""
+    hot = staged(postings.where(F.pmod(F.xxhash64("cls"), F.lit(PART)) == 0).groupBy("tok").count().where(F.col("count") >= LIKELY).select("tok"))
+    n = hot.count()
+    if not n:
+        return _listed(postings)
+    many = staged(postings.join(small(hot, n), "tok", "left_semi").distinct())
+    counts = many.groupBy("tok").agg(F.least(F.count("*"), F.lit(MOST_DF)).alias("df")).where("df > 1")
+    return _listed(postings.join(small(hot, n), "tok", "left_anti")).unionByName(many.join(small(counts, n), "tok").select("tok", "cls", "df"))
+
+
+def _listed(postings: DataFrame) -> DataFrame:
+    """frequencies() in one shuffle; lists pass through in a stream."""
 
     def of(batches):
         tok, cls, over = np.empty(0, np.int64), np.empty(0, np.int64), None
@@ -211,11 +232,17 @@ def searched(lists: DataFrame, prefix: DataFrame, full: DataFrame, num: int, den
         end[np.lexsort((pdf["end_tok"], pdf["end_df"]))] = np.arange(len(pdf))
         block, comp, p, n = (pdf[c].to_numpy() for c in ("g", "component", "p", "n"))
         left, right = np.flatnonzero(block == g1), np.flatnonzero(block == g2)
-        every = np.zeros((len(pdf), column.max() + 1), np.float32)
-        every[row, column] = 1
-        shared = every[left] @ every[right].T
-        every[row[~early], column[~early]] = 0
-        first = every[left] @ every[right].T == 0
+        shared, before = np.zeros((len(left), len(right)), np.float32), np.zeros((len(left), len(right)), np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column, early = row[order], column[order], early[order]
+        for c in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+            a, z = np.searchsorted(column, (c, c + COLUMNS))
+            every = np.zeros((len(pdf), min(COLUMNS, int(column[-1]) + 1 - c)), np.float32)
+            every[row[a:z], column[a:z] - c] = 1
+            shared += every[left] @ every[right].T
+            every[row[a:z][~early[a:z]], column[a:z][~early[a:z]] - c] = 0
+            before += every[left] @ every[right].T
+        first = before == 0
         for i, x in enumerate(left):
             need = -(-num * (n[x] + n[right]) // (den + num))
             rest = np.where(end[x] <= end[right], n[x] - p[x], n[right] - p[right])
@@ -298,8 +325,8 @@ def row_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -
     comp = connected_components(first)
 
     named = lists.join(comp.withColumnRenamed("node", "cls"), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
-    mixed = named.groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("tok")
-    left = staged(named.join(mixed, "tok", "left_semi").withColumn("size", F.count("*").over(Window.partitionBy("tok"))))
+    mixed = named.groupBy("tok").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("size")).where("x <> y").select("tok", "size")
+    left = staged(named.join(mixed, "tok"))
     few = left.where(F.col("size") <= SHORT)
     other = few.select("tok", *[F.col(c).alias(o) for c, o in (("cls", "o"), ("n", "m"), ("p", "q"), ("end", "oend"), ("slots", "oslots"), ("i", "j"), ("component", "oc"))])
     # shared shingles of the two prefixes, as far as their places in both lists allow, with all that follows the prefix that ends first
