@@ -7,10 +7,12 @@ element of the article is kept.
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import random
 import re
+import zlib
 from collections import Counter
 from functools import lru_cache
 
@@ -19,115 +21,180 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_PLAIN = re.compile(r"[^>\"']*")
 _ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.S)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
 
 # Element names by their part in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe svg math object textarea title head select button option canvas audio video".split())
+RAW = frozenset("script style noscript template iframe textarea title head select button option".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - frozenset("body caption html tbody td tfoot th thead tr li dd dt legend summary".split())
 TAGS = "html body main article section div p h1 h2 h3 h4 h5 h6 header footer nav aside form ul ol li dl dt dd table tr td th blockquote pre figure figcaption a span b i em strong label".split()
-GOOD = frozenset("article body content copy entry main page post prose read story text".split())
-BAD = frozenset("ad ads advert advertisement banner bar breadcrumb breadcrumbs byline comment comments consent cookie cookies copyright dialog discuss disqus feedback foot footer head header legal login masthead menu meta modal nav navbar navigation newsletter notice pager pagination popup privacy promo promoted recommend recommended related reply replies respond response search share sharing shoutbox sidebar signup skip social sponsor sponsored subscribe tags toolbar top topbar warning widget".split())
+_BARRIER = ("td", "th", "table", "body")
+_STOP = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ()}
+_SAME = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}
+#: Buckets of hashed attribute tokens.
+BUCKETS = 4096
 _TAG_NO = {t: i for i, t in enumerate(TAGS)}
 LENGTH = 26
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "kids", "good", "bad", "depth")
+    __slots__ = ("tag", "parent", "parts", "kids", "attributes", "depth")
 
     def __init__(self, tag, parent, attributes=""):
-        self.tag, self.parent, self.parts, self.kids = tag, parent, [], []
-        self.good = self.bad = 0
+        self.tag, self.parent, self.parts, self.kids, self.attributes = tag, parent, [], [], attributes
         self.depth = parent.depth + 1 if parent else 0
-        if attributes:
-            _attribute_tokens(self, attributes)
 
 
 @lru_cache(4096)
-def _counts(attributes: str) -> tuple[int, int]:
-    good = bad = 0
+def _tokens(attributes: str) -> tuple[int, ...]:
+    """Buckets of the words in an element's class, id, role, itemprop and label."""
+    found = []
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role", "itemprop", "aria-label"):
-            for t in _WORD.findall(a or b or c):
-                good += t.lower() in GOOD
-                bad += t.lower() in BAD
-    return good, bad
+            found += [zlib.crc32(t.lower().encode()) % BUCKETS for t in _WORD.findall(a or b or c)]
+    return tuple(found)
 
 
-def _attribute_tokens(node: Node, attributes: str) -> None:
-    node.good, node.bad = _counts(attributes)
+class _Open:
+    """The open elements, with the places of each tag and of block elements among them."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.blocks = [root], {}, []
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def push(self, node: Node) -> None:
+        self.at.setdefault(node.tag, []).append(len(self.nodes))
+        if node.tag in BLOCK:
+            self.blocks.append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, place: int) -> None:
+        """Closes the element at a place (the root is at 0 and stays) and all in it."""
+        for node in self.nodes[place:]:
+            self.at[node.tag].pop()
+        while self.blocks and self.blocks[-1] >= place:
+            self.blocks.pop()
+        del self.nodes[place:]
+
+
+class _Page:
+    """Ends of tags and of raw elements; each look goes on from where the last one was, so a page is read a few times at most."""
+
+    def __init__(self, page: str):
+        self.page, self.none, self.quoted = page, set(), True
+        self.closers: dict[str, tuple[list[int], list[int]]] = {}
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.none:
+            return -1
+        k = self.page.find(what, at)
+        if k < 0:
+            self.none.add(what)
+        return k
+
+    def tag_end(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag, quotes respected, or -1. Once quotes do not close before the page ends they count for nothing."""
+        k = at
+        while self.quoted:
+            k = _PLAIN.match(self.page, k).end()
+            if k >= len(self.page):
+                self.quoted = False
+            elif self.page[k] == ">":
+                return k
+            else:
+                k = self.find(self.page[k], k + 1) + 1
+                if not k:
+                    break
+        return self.find(">", at)
+
+    def after(self, tag: str, at: int) -> int:
+        """Where the text after the end tag of a raw element goes on, or -1."""
+        if tag not in self.closers:
+            found = [(m.start(), m.end()) for m in re.finditer(rf"</{re.escape(tag)}\b[^<>]*>?", self.page, re.I)]
+            self.closers[tag] = [a for a, _ in found], [z for _, z in found]
+        starts, ends = self.closers[tag]
+        k = bisect.bisect_left(starts, at)
+        return ends[k] if k < len(starts) else -1
 
 
 def parse(page: str) -> list[Node]:
-    """Elements in page order, the first a root. An end tag without its start is passed over; unclosed elements end with their parent."""
+    """Elements in page order, the first a root. An end tag without its start is passed over; unclosed elements end with their parent. Time grows with the page."""
     root = Node("html", None)
-    nodes, open_, at, end = [root], [root], 0, len(page)
+    nodes, open_, look, at, end = [root], _Open(root), _Page(page), 0, len(page)
+    body = False
     while at < end:
-        m = _TOKEN.search(page, at)
-        if m is None:
-            open_[-1].parts.append(page[at:])
+        k = page.find("<", at)
+        if k < 0:
+            open_.nodes[-1].parts.append(page[at:])
             break
-        if m.start() > at:
-            open_[-1].parts.append(page[at : m.start()])
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
+        if k > at:
+            open_.nodes[-1].parts.append(page[at:k])
+        if page.startswith("<!--", k):
+            z = look.find("-->", k + 4)
+            at = z + 3 if z >= 0 else end
             continue
-        if m[1] or m[4]:
-            if tag == "p" and not any(n.tag == "p" for n in open_):
-                continue
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == tag:
-                    del open_[i:]
-                    break
-                if open_[i].tag in ("td", "th", "table", "body") and tag not in BLOCK:
-                    break
+        if page.startswith("<![CDATA[", k):
+            z = look.find("]]>", k + 9)
+            open_.nodes[-1].parts.append(page[k + 9 : z if z >= 0 else end].replace("&", "&amp;"))
+            at = z + 3 if z >= 0 else end
+            continue
+        m = _NAME.match(page, k)
+        if not m and page[k + 1 : k + 2] not in ("!", "?", "/"):
+            open_.nodes[-1].parts.append("<")
+            at = k + 1
+            continue
+        z = look.tag_end(m.end()) if m else look.find(">", k)
+        if z < 0:
+            break  # the page ends in a tag
+        at = z + 1
+        if not m:
             continue
-        attributes = m[3] or m[6] or ""
+        tag = m[1].lower()
+        if page[k + 1] == "/":
+            place = open_.last((tag,))
+            if place and (tag in BLOCK or open_.last(_BARRIER) <= place):
+                open_.cut(place)
+            continue
+        attributes = page[m.end() : z]
         if tag in RAW:
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
-                if close or tag in ("script", "style", "textarea", "title"):
-                    at = close.end() if close else end
+                z = look.after(tag, at)
+                if z >= 0 or tag in ("script", "style", "textarea", "title"):
+                    at = z if z >= 0 else end
             continue
         if tag == "br" or tag == "hr" or tag == "img":
-            open_[-1].parts.append(" ")
-        if tag in VOID:
-            continue
-        if tag in ("html", "body") and any(n.tag == tag for n in open_[1 if tag == "html" else 0 :]) or tag == "html":
+            open_.nodes[-1].parts.append(" ")
+        if tag in VOID or tag == "html" or tag == "body" and body:
             continue
-        if tag in CLOSES_P:
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag == "p":
-                    del open_[i:]
-                    break
-                if open_[i].tag in BLOCK:
-                    break
-        if tag in ("li", "dd", "dt", "tr", "td", "th", "option"):
-            stop = {"li": ("ul", "ol", "menu"), "dd": ("dl",), "dt": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}.get(tag, ())
-            same = {"dd": ("dd", "dt"), "dt": ("dd", "dt"), "td": ("td", "th"), "th": ("td", "th")}.get(tag, (tag,))
-            for i in range(len(open_) - 1, 0, -1):
-                if open_[i].tag in stop:
-                    break
-                if open_[i].tag in same:
-                    del open_[i:]
-                    break
-        node = Node(tag, open_[-1], attributes)
-        open_[-1].parts.append(node)
-        open_[-1].kids.append(node)
+        body |= tag == "body"
+        if tag in CLOSES_P and open_.blocks and open_.nodes[open_.blocks[-1]].tag == "p":
+            open_.cut(open_.blocks[-1])
+        if tag in _STOP:
+            place = open_.last(_SAME.get(tag, (tag,)))
+            if place > open_.last(_STOP[tag]):
+                open_.cut(place)
+        node = Node(tag, open_.nodes[-1], attributes)
+        node.parent.parts.append(node)
+        node.parent.kids.append(node)
         nodes.append(node)
         if not attributes.endswith("/"):
-            open_.append(node)
+            open_.push(node)
     return nodes
 
 
-def features(nodes: list[Node]) -> list[list[float]]:
-    """LENGTH numbers for each element, in page order."""
+def features(nodes: list[Node], weights: np.ndarray | None = None) -> list[list[float]]:
+    """LENGTH numbers for each element, in page order; weights: what each bucket of attribute tokens tells, as learnt from the generated pages."""
     n = len(nodes)
+    weights = token_weights() if weights is None else weights
+    told = [[float(weights[t]) for t in _tokens(x.attributes)] for x in nodes]
+    good_of, bad_of = [sum(w for w in t if w > 0) for t in told], [-sum(w for w in t if w < 0) for t in told]
     place = {id(x): i for i, x in enumerate(nodes)}
     own, text, link, tags, marks, blocks = ([0.0] * n for _ in range(6))
     for i in range(n - 1, -1, -1):
@@ -153,18 +220,17 @@ def features(nodes: list[Node]) -> list[list[float]]:
             blocks[p] += blocks[i]
     whole = max(1.0, text[0])
     kinds = [Counter(k.tag for k in node.kids) for node in nodes]
-    out, above_bad, above_good, inside = [], [0] * n, [0] * n, [0] * n
+    out, above_bad, above_good, inside = [], [0.0] * n, [0.0] * n, [0] * n
     for i, node in enumerate(nodes):
         p = place[id(node.parent)] if i else 0
         tag = node.tag
-        bad, good = node.bad + (tag in ("nav", "aside", "footer", "form")), node.good + (tag in ("article", "main"))
-        above_bad[i], above_good[i] = (above_bad[p] if i else 0) + bad, (above_good[p] if i else 0) + good
+        above_bad[i], above_good[i] = (above_bad[p] if i else 0.0) + bad_of[i], (above_good[p] if i else 0.0) + good_of[i]
         inside[i] = 2 if tag in ("nav", "aside", "footer", "form") else 1 if tag in ("article", "main") else inside[p] if i else 0
         brothers = nodes[p].kids if i else [node]
         like = kinds[p][tag] if i else 1
         size = text[i]
         others = max(0.0, text[p] - size)
-        out.append([_TAG_NO.get(tag, len(TAGS)), node.depth, node.good, node.bad, above_good[i], above_bad[i], inside[i], math.log1p(own[i]), math.log1p(size), size / whole, link[i] / max(1.0, size), marks[i] / max(1.0, size), size / tags[i], math.log1p(blocks[i]), len(node.kids), len(brothers), like / max(1, len(brothers)), math.log1p(others / max(1, len(brothers) - 1) if i else 0.0), size / max(1.0, text[p]), link[p] / max(1.0, text[p]), text[p] / tags[p], _TAG_NO.get(nodes[p].tag, len(TAGS)) if i else -1, i / n, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("p", "blockquote", "pre"), tag in ("header", "footer", "nav", "aside", "form")])
+        out.append([_TAG_NO.get(tag, len(TAGS)), node.depth, good_of[i], bad_of[i], above_good[i], above_bad[i], inside[i], math.log1p(own[i]), math.log1p(size), size / whole, link[i] / max(1.0, size), marks[i] / max(1.0, size), size / tags[i], math.log1p(blocks[i]), len(node.kids), len(brothers), like / max(1, len(brothers)), math.log1p(others / max(1, len(brothers) - 1) if i else 0.0), size / max(1.0, text[p]), link[p] / max(1.0, text[p]), text[p] / tags[p], _TAG_NO.get(nodes[p].tag, len(TAGS)) if i else -1, i / n, tag in ("h1", "h2", "h3", "h4", "h5", "h6"), tag in ("p", "blockquote", "pre"), tag in ("header", "footer", "nav", "aside", "form")])
     return out
 
 
@@ -174,6 +240,7 @@ class Boosted:
     def __init__(self, trees: int = 40, depth: int = 4, rate: float = 0.25, least: int = 8, bins: int = 32):
         self.size, self.depth, self.rate, self.least, self.bins = trees, depth, rate, least, bins
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.tokens = np.zeros(BUCKETS)
         self.start = 0.0
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
@@ -289,7 +356,17 @@ def text_of(nodes: list[Node], label: list[bool]) -> str:
     return "\n".join(blocks)
 
 
-def training_pages(n: int = 260, seed: int = 11) -> list[str]:
+# Class names that the generated pages draw from.
+TEXT = "article content entry-content main-content page-body post post-body prose read-more story text copy".split()
+ADS = "ad ads advert advertisement banner promo promoted sponsor sponsored".split()
+SHARES = "newsletter-signup related share share-buttons sharing social tags toolbar".split()
+TALK = ["comments", "comment-list", "discussion comments", "disqus", "feedback", "reader-comments", "replies", "respond", "shoutbox"]
+MENUS = "header masthead menu nav navbar navigation skip toolbar top topbar".split()
+NOTICES = "banner consent-dialog cookie cookie-notice cookies dialog modal notice popup privacy warning".split()
+SIDES = "recommended related search sidebar widget".split()
+
+
+def training_pages(n: int = 400, seed: int = 11) -> list[str]:
     """Generated pages; elements of the article have the attribute ``data-y``."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice("bcdfghlmnprstvw") + r.choice("aeiou") for _ in range(r.randint(1, 4)))
@@ -316,23 +393,23 @@ def training_pages(n: int = 260, seed: int = 11) -> list[str]:
             elif kind < 0.92:
                 body.append(f"<pre data-y>{prose(1, 2)}</pre>")
             elif kind < 0.94:
-                body.append(f"<div class='{r.choice(['ad', 'advert', 'promo', 'related', 'share-buttons', 'newsletter-signup'])}'>{r.choice([words(2, 9), prose(1, 3), links(2, 5)])}</div>")
+                body.append(f"<div class='{r.choice(ADS + SHARES)}'>{r.choice([words(2, 9), prose(1, 3), links(2, 5)])}</div>")
             elif kind < 0.97:
                 body.append(f"<div data-y>{prose(1, 4)}</div>")
             else:
                 body.append(f"<figure data-y><img src='a.png'><figcaption data-y>{words(3, 9)}</figcaption></figure>")
         if r.random() < 0.15:
-            body.append(f"<div class='{r.choice(['comments', 'comment-list', 'replies'])}'><h3>{words(1, 2)}</h3>" + "".join(f"<div class='comment'><p>{prose(1, 3)}</p></div>" for _ in range(r.randint(1, 5))) + "</div>")
-        box = r.choice(["article", "article", "article", "main", "div class='content'", "div id='post-body'", "div class='entry-content'", "section class='story'", "div"])
+            body.append(f"<div class='{r.choice(TALK)}'><h3>{words(1, 2)}</h3>" + "".join(f"<div class='comment'><p>{prose(1, 3)}</p></div>" for _ in range(r.randint(1, 5))) + "</div>")
+        box = r.choice(["article", "article", "article", "main", *[f"{r.choice(['div', 'div', 'section'])} {r.choice(['class', 'id'])}='{r.choice(TEXT)}'" for _ in range(4)], "div"])
         text = f"<{box} data-y>{''.join(body)}</{box.split()[0]}>"
         if box != "main" and r.random() < 0.3:
             text = f"<main>{text}</main>"
         before, after = [], []
         say = lambda: r.choice([words(2, 10), prose(1, 2), prose(2, 5)])
-        for p, piece in ((0.8, f"<nav>{links(2, 8)}</nav>"), (0.4, f"<header><a href='/'>{word()}</a><p>{words(2, 6)}</p></header>"), (0.2, f"<div class='menu'>{links(3, 9)}</div>"), (0.25, f"<div class='{r.choice(['cookie-notice', 'notice', 'banner', 'consent-dialog', 'cookie'])}'><p>{say()}</p><button>ok</button></div>"), (0.5, f"<div class='{r.choice(['ad', 'ads', 'advert', 'sponsored'])}'>{say()}</div>"), (0.15, f"<form action='/s'><label>{word()}</label><input name='q'></form>"), (0.1, f"<div class='breadcrumbs'><a href='/'>{word()}</a> / {word()}</div>"), (0.1, links(3, 8)), (0.15, f"<aside class='sidebar'><h3>{words(1, 3)}</h3>{r.choice([links(2, 6), '<p>' + say() + '</p>'])}</aside>")):
+        for p, piece in ((0.8, f"<nav>{links(2, 8)}</nav>"), (0.4, f"<header><a href='/'>{word()}</a><p>{words(2, 6)}</p></header>"), (0.2, f"<div class='{r.choice(MENUS)}'>{links(3, 9)}</div>"), (0.25, f"<div class='{r.choice(NOTICES)}'><p>{say()}</p><button>ok</button></div>"), (0.5, f"<div class='{r.choice(ADS)}'>{say()}</div>"), (0.15, f"<form action='/s'><label>{word()}</label><input name='q'></form>"), (0.1, f"<div class='{r.choice(['breadcrumbs', 'breadcrumb', 'pager', 'pagination'])}'><a href='/'>{word()}</a> / {word()}</div>"), (0.1, links(3, 8)), (0.15, f"<aside class='{r.choice(SIDES)}'><h3>{words(1, 3)}</h3>{r.choice([links(2, 6), '<p>' + say() + '</p>'])}</aside>")):
             if r.random() < p:
                 before.append(piece)
-        for p, piece in ((0.8, f"<footer>&copy; {word()}.example.com &middot; {say()}</footer>"), (0.3, f"<aside>{r.choice([links(2, 6), '<p>' + say() + '</p>', '<p>' + say() + '</p><p>' + say() + '</p>'])}</aside>"), (0.3, f"<{r.choice(['section', 'div', 'ol'])} {r.choice(['class', 'id'])}='{r.choice(['comments', 'comment-list', 'discussion comments', 'replies', 'reader-comments'])}'><h3>{words(1, 2)}</h3>" + "".join(r.choice([f"<div class='comment'><p>{say()}</p></div>", f"<li><b>{word()}</b><p>{say()}</p></li>", f"<p>{say()}</p>", f"<article class='comment'><p>{say()}</p></article>"]) for _ in range(r.randint(1, 8))) + "</section>"), (0.15, f"<form><p>{say()}</p><textarea></textarea><input type='submit'></form>"), (0.2, f"<div class='related'>{links(2, 6)}</div>"), (0.15, f"<div id='sidebar'><p>{say()}</p>{links(1, 4)}</div>"), (0.1, f"<div class='footer'><p>{say()}</p></div>"), (0.12, f"<div class='newsletter'><p>{say()}</p><form><input></form></div>")):
+        for p, piece in ((0.8, f"<footer>&copy; {word()}.example.com &middot; {say()}</footer>"), (0.3, f"<aside>{r.choice([links(2, 6), '<p>' + say() + '</p>', '<p>' + say() + '</p><p>' + say() + '</p>'])}</aside>"), (0.3, f"<{r.choice(['section', 'div', 'ol'])} {r.choice(['class', 'id'])}='{r.choice(TALK)}'><h3>{words(1, 2)}</h3>" + "".join(r.choice([f"<div class='comment'><p>{say()}</p></div>", f"<li><b>{word()}</b><p>{say()}</p></li>", f"<p>{say()}</p>", f"<article class='comment'><p>{say()}</p></article>"]) for _ in range(r.randint(1, 8))) + "</section>"), (0.15, f"<form><p>{say()}</p><textarea></textarea><input type='submit'></form>"), (0.2, f"<div class='{r.choice(SIDES)}'>{links(2, 6)}</div>"), (0.15, f"<div id='{r.choice(SIDES)}'><p>{say()}</p>{links(1, 4)}</div>"), (0.1, f"<div class='{r.choice(['footer', 'foot', 'copyright', 'legal', 'page-footer'])}'><p>{say()}</p></div>"), (0.12, f"<div class='{r.choice(['newsletter', 'signup', 'subscribe', 'login'])}'><p>{say()}</p><form><input></form></div>")):
             if r.random() < p:
                 after.append(piece)
         r.shuffle(before)
@@ -342,31 +419,38 @@ def training_pages(n: int = 260, seed: int = 11) -> list[str]:
     return pages
 
 
+@lru_cache(1)
+def _training() -> tuple[list[list[Node]], list[list[bool]]]:
+    trees = [parse(p) for p in training_pages()]
+    return trees, [_truth(t) for t in trees]
+
+
+@lru_cache(1)
+def token_weights() -> np.ndarray:
+    """Log-odds of each bucket of attribute tokens that an element which has one is of the article, smoothed; 0 where the generated pages have none."""
+    yes, no = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for tree, truth in zip(*_training()):
+        for node, y in zip(tree, truth):
+            for t in set(_tokens(node.attributes)):
+                (yes if y else no)[t] += 1
+    return np.where(yes + no > 0, np.log((yes + 0.5) / (no + 0.5)), 0.0)
+
+
 @lru_cache(1)
 def trained() -> Boosted:
     """The trees, fit on the generated pages."""
     x, y = [], []
-    for page in training_pages():
-        x += features(parse(page))
-        y += _truth(page)
-    return Boosted().fit(np.array(x, float), np.array(y, float))
-
-
-def _truth(page: str) -> list[bool]:
-    """Whether each element that parse() finds has the mark."""
-    found: list[bool] = []
-    init = Node.__init__
+    for tree, truth in zip(*_training()):
+        x += features(tree)
+        y += truth
+    model = Boosted().fit(np.array(x, float), np.array(y, float))
+    model.tokens = token_weights()
+    return model
 
-    def marked(self, tag, parent, attributes=""):
-        init(self, tag, parent, attributes)
-        found.append("data-y" in attributes)
 
-    Node.__init__ = marked
-    try:
-        parse(page)
-    finally:
-        Node.__init__ = init
-    return found
+def _truth(page: str | list[Node]) -> list[bool]:
+    """Whether each element has the mark."""
+    return ["data-y" in node.attributes for node in (parse(page) if isinstance(page, str) else page)]
 
 
 def extract(pages: list[str | None], model: Boosted) -> list[str]:
@@ -374,7 +458,7 @@ def extract(pages: list[str | None], model: Boosted) -> list[str]:
     trees = [parse(p or "") for p in pages]
     if not trees:
         return []
-    rows = [features(t) for t in trees]
+    rows = [features(t, model.tokens) for t in trees]
     z = model.margin(np.array([f for r in rows for f in r], float))
     out, at = [], 0
     for t in trees:
