@@ -3,7 +3,8 @@
 The urls that rules allow and those that they block each give a Markov model of the characters of host and path, digits as one sign.
 Orders 0 to ORDER - 1 are blended by Witten-Bell: a context weighs its own counts by how many different signs have followed it,
 the rest comes from the next shorter context. A url's score is the mean log-likelihood difference of a sign. The models learn
-from 3 of 4 different urls, by a hash, and the threshold is the one that best tells the classes apart on the fourth.
+from 3 of 4 different urls, by a hash, and the threshold is the one that best tells the classes apart on the fourth, in the
+middle between the scores on either side.
 """
 
 from __future__ import annotations
@@ -98,8 +99,8 @@ def url_filter(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     every = Window.partitionBy(F.lit(0))
     below = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     share = lambda c: F.coalesce(F.sum(c).over(below), F.lit(0)) / F.sum(c).over(every)
-    best = bins.withColumn("_both", (F.sum("yes").over(every) > 0) & (F.sum("no").over(every) > 0)).where("_both").withColumn("_gain", share("no") - share("yes"))
-    cut = best.agg(F.max(F.struct("_gain", (-F.abs("bin")).alias("a"), "bin")).alias("m")).select(F.coalesce(F.col("m.bin") / BINS, F.lit(0.0)).alias("cut"))
+    best = bins.withColumn("_both", (F.sum("yes").over(every) > 0) & (F.sum("no").over(every) > 0)).where("_both").withColumn("_gain", share("no") - share("yes")).withColumn("_middle", F.coalesce((F.lag("bin").over(every.orderBy("bin")) + 1 + F.col("bin")) / 2, F.col("bin")))
+    cut = best.agg(F.max(F.struct("_gain", (-F.abs("bin")).alias("a"), "bin", "_middle")).alias("m")).select(F.coalesce(F.col("m._middle") / BINS, F.lit(0.0)).alias("cut"))
     cut = cut.first().cut  # one number
     judged = scored.where("verdict is null").select("signs", "score")
     out = rows.where("fixed is null").join(judged, "signs", "left").unionByName(rows.where("fixed is not null").withColumn("score", F.lit(None).cast("double")))
@@ -138,8 +139,8 @@ b AS (SELECT gram, sum(CASE WHEN fixed = 'allow' AND NOT held THEN n ELSE 0 END)
 r AS (SELECT b.gram, ln({prob["yes"]}) - ln({prob["no"]}) AS ratio FROM b{joins}),
 s AS (SELECT signs, fixed, n, held, sum(ratio) / count(*) AS score FROM g JOIN r USING (gram) GROUP BY ALL),
 i AS (SELECT floor(greatest(-{SPAN}, least({SPAN}, score)) * {BINS}) AS bin, sum(n) FILTER (fixed = 'allow') AS yes, sum(n) FILTER (fixed = 'block') AS no FROM s WHERE held AND fixed IS NOT NULL GROUP BY bin),
-k AS (SELECT bin, coalesce(sum(no) OVER w, 0) / sum(no) OVER () - coalesce(sum(yes) OVER w, 0) / sum(yes) OVER () AS gain FROM i WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-cut AS (SELECT coalesce((SELECT bin / {BINS} FROM k WHERE gain IS NOT NULL ORDER BY gain DESC, abs(bin), bin DESC LIMIT 1), 0) AS cut)
+k AS (SELECT bin, coalesce((lag(bin) OVER (ORDER BY bin) + 1 + bin) / 2, bin) AS middle, coalesce(sum(no) OVER w, 0) / sum(no) OVER () - coalesce(sum(yes) OVER w, 0) / sum(yes) OVER () AS gain FROM i WINDOW w AS (ORDER BY bin ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+cut AS (SELECT coalesce((SELECT middle / {BINS} FROM k WHERE gain IS NOT NULL ORDER BY gain DESC, abs(bin), bin DESC LIMIT 1), 0) AS cut)
 SELECT page_id, host, path, rule, coalesce(u.fixed, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict FROM cut, u LEFT JOIN s ON s.signs = u.signs AND s.fixed IS NULL"""
 
 
