@@ -179,7 +179,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     def of(batches):
         for b in batches:
             raw, train = raw_texts(b.column(1)), b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, e in slices(raw, 8 << 20):
+            for a, e in slices(raw, 4 << 20):
                 w = Words(raw[a:e])
                 if not len(w.hash):
                     continue

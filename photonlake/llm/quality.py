@@ -50,7 +50,7 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]], bits: int = BITS, epoch
 
     work = []
     for y, i, c in rows:
-        work.append((y, np.append(i, bias), np.append(c / np.sqrt(max(1, c.sum())), 1.0)))
+        work.append((y, np.append(i, np.int32(bias)), np.append(c / np.sqrt(max(1, c.sum())), 1.0)))
     for _ in range(epochs):
         for y, i, x in work:
             w = weights(i)

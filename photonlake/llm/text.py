@@ -7,13 +7,14 @@ Hashes are 64 bits and the same in every process.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one step works on, unless a single text is longer.
-SLICE = 2 << 20
+SLICE = 1 << 20
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,8 +65,17 @@ def raw_texts(column: pa.Array) -> list[memoryview]:
     return found
 
 
+def trim() -> None:
+    """Gives memory that is free back to the system: workers wait for their next task beside others that work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def slices(raw: list, most: int = SLICE) -> Iterator[tuple[int, int]]:
-    """Row ranges of at most ``most`` bytes, or of one row."""
+    """Row ranges of at most ``most`` bytes, or of one row; free memory is given back behind the last."""
     start, size = 0, 0
     for i, b in enumerate(raw):
         if i > start and size + len(b) > most:
@@ -74,6 +84,7 @@ def slices(raw: list, most: int = SLICE) -> Iterator[tuple[int, int]]:
         size += len(b)
     if len(raw) > start:
         yield start, len(raw)
+    trim()
 
 
 class Words:
