@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import numbered
+from ..plans.dims import attach, per_recording, with_origin
+from .windows import BUCKET, numbered
 
 
 def seek_time(events: DataFrame, t: int) -> DataFrame:
@@ -18,9 +19,12 @@ def seek_index(events: DataFrame, n: int) -> DataFrame:
     return numbered(events, "_n").where(F.col("_n") >= n).drop("_n")
 
 
-def seek(events: DataFrame, t: int | None = None, n: int | None = None) -> DataFrame:
+def seek(events: DataFrame, t: int | None = None, n: int | None = None, relative: bool = False) -> DataFrame:
+    """From a time or a position; relative: t counts from the first event of the recording."""
     if (t is None) == (n is None):
         raise ValueError("exactly one of t and n")
+    if t is not None and relative:
+        return with_origin(events).where(F.col("t") >= F.col("t0") + t).drop("t0")
     return seek_time(events, t) if t is not None else seek_index(events, n)
 
 
@@ -35,14 +39,24 @@ def ms_range(events: DataFrame, start: int, end: int = -1) -> DataFrame:
 def rows_at(events: DataFrame, start: int, stop: int) -> DataFrame:
     """The slice [start:stop] of each recording; negative positions count from the end."""
     rows = numbered(events, "_n")
-    size = F.count("*").over(Window.partitionBy("recording_id")) if min(start, stop) < 0 else None
-    at = lambda k: F.lit(k) if k >= 0 else size + k
-    return rows.withColumn("_a", at(start)).withColumn("_z", at(stop)).where("_n >= _a and _n < _z").drop("_n", "_a", "_z")
+    if min(start, stop) >= 0:
+        return rows.where((F.col("_n") >= start) & (F.col("_n") < stop)).drop("_n")
+    at = lambda k: F.lit(k) if k >= 0 else F.col("_k") + k
+    return attach(rows, per_recording(events, _k=F.count("*"))).where((F.col("_n") >= at(start)) & (F.col("_n") < at(stop))).select(*events.columns)
 
 
 def is_sorted(events: DataFrame) -> DataFrame:
-    before = F.lag("t").over(Window.partitionBy("recording_id").orderBy("seq"))
-    return events.withColumn("_ok", F.coalesce(F.col("t") >= before, F.lit(True))).groupBy("recording_id").agg(F.bool_and("_ok").alias("is_sorted"))
+    """Whether times never go down: inside buckets of seq, and from the last time of one to the first of the next."""
+    rows = events.select("recording_id", "seq", "t", F.expr(f"seq div {BUCKET}").alias("_b"))
+    inside = F.lag("t").over(Window.partitionBy("recording_id", "_b").orderBy("seq"))
+    edges = rows.withColumn("_ok", F.coalesce(F.col("t") >= inside, F.lit(True))).groupBy("recording_id", "_b").agg(F.bool_and("_ok").alias("_ok"), F.min_by("t", "seq").alias("_a"), F.max_by("t", "seq").alias("_z"))
+    before = F.lag("_z").over(Window.partitionBy("recording_id").orderBy("_b"))
+    return edges.withColumn("_ok", F.col("_ok") & F.coalesce(F.col("_a") >= before, F.lit(True))).groupBy("recording_id").agg(F.bool_and("_ok").alias("is_sorted"))
+
+
+def is_valid(events: DataFrame, width: int, height: int) -> DataFrame:
+    """recording_id, is_valid: times in order, polarities 0 or 1 and pixels on the sensor."""
+    return validity(events, width, height).join(is_sorted(events), "recording_id").select("recording_id", F.expr("valid_p and valid_x and valid_y and is_sorted").alias("is_valid"))
 
 
 def validity(events: DataFrame, width: int, height: int) -> DataFrame:

@@ -47,9 +47,10 @@ def drop_by_time(events: DataFrame, ratio: float, u: float) -> DataFrame:
     if not 0 <= ratio < 1 or not 0 <= u < 1:
         raise ValueError("ratio and u must be in [0, 1)")
     rows = attach(events, per_recording(events, lo=F.min("t"), hi=F.max("t")))
-    size = F.floor((F.col("hi") - F.col("lo")) * F.lit(ratio))
-    start = F.col("lo") + F.floor((F.col("hi") - F.col("lo") - size) * F.lit(u))
-    return rows.where((F.col("t") < start) | (F.col("t") > start + size)).drop("lo", "hi")
+    at, span = F.col("t") - F.col("lo"), F.col("hi") - F.col("lo")  # from the start, so that fractions keep their digits
+    size = span * F.lit(float(ratio))
+    start = (span - size) * F.lit(float(u))
+    return rows.where((at < start) | (at > start + size)).drop("lo", "hi")
 
 
 def prefix_dt(events: DataFrame, dt: int) -> DataFrame:

@@ -14,9 +14,12 @@ def per_recording(events: DataFrame, **facts: Column) -> DataFrame:
 
 
 def attach(events: DataFrame, dim: DataFrame) -> DataFrame:
-    """events with the columns of a table keyed by recording_id; a large table is joined by shuffle, where AQE splits a hot recording."""
-    few = dim.limit(FEW + 1).count() <= FEW
-    return events.join(F.broadcast(dim) if few else dim, "recording_id")
+    """events with the columns of a table keyed by recording_id. A small table is worked out once, here, and broadcast as rows; a large one
+    is joined by shuffle, where AQE splits a hot recording."""
+    rows = dim.limit(FEW + 1).toArrow()
+    if rows.num_rows <= FEW:
+        dim = F.broadcast(events.sparkSession.createDataFrame(rows, dim.schema))
+    return events.join(dim, "recording_id")
 
 
 def with_origin(events: DataFrame) -> DataFrame:

@@ -27,6 +27,21 @@ ONOFF = "CAST(least(count(*) FILTER (p = 1), 255) AS INTEGER) AS on_cnt, CAST(le
 LCG = "((seq % 2147483648) * 1103515245 + 12345 + 7) % 2147483648 / 2147483648.0"
 
 
+def _u(seed: int, key: str = "seq") -> str:
+    return f"(((({key}) % 2147483648) * 1103515245 + 12345 + {seed}) % 2147483648 / 2147483648.0::DOUBLE)"
+
+
+def _n(u: str, v: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {u})) * cos({v} * 6.283185307179586::DOUBLE))"
+
+
+#: Keys of the portable uniform numbers of one row.
+KEYS = [f"seq * {k} + {k}" for k in (7919, 104729, 1299709, 15485863)]
+U = [_u(5, k) for k in KEYS]
+SQRT2 = 2.0**0.5
+REST = (1.0 - (0.5 / SQRT2) ** 2) ** 0.5
+
+
 def _value(df: DataFrame) -> DataFrame:
     return df.withColumn("value", F.round("value", 6))
 
@@ -73,12 +88,12 @@ _EVENTS = {
     "sliding_gaps": (lambda ev: _per_window(W.sliding(ev, 3 * HOUR, HOUR)), f", w AS (SELECT *, (t - t0) // {3 * HOUR} AS window_id FROM e WHERE (t - t0) % {3 * HOUR} < {HOUR}) {PER}"),
     "count_windows": (lambda ev: _per_window(W.by_count(ev, 70)), f", w AS (SELECT *, n // 70 AS window_id FROM e) {PER}"),
     "mixed_windows": (
-        lambda ev: _per_window(W.mixed(ev, 6 * HOUR, 20)).drop("window_id"),
+        lambda ev: _per_window(W.mixed(ev, 6 * HOUR, 20)),
     f""", s AS (SELECT recording_id, list(t ORDER BY seq) AS ts, list(p ORDER BY seq) AS ps, count(*) AS size FROM ev GROUP BY recording_id),
-c AS (SELECT recording_id, CAST(0 AS BIGINT) AS i, ts[1] AS anchor, CAST(0 AS BIGINT) AS k FROM s
-UNION ALL SELECT recording_id, i + k2, CASE WHEN bycount THEN ts[i + k2 + 1] ELSE anchor + {6 * HOUR} END, k2 FROM (
-SELECT c.recording_id, c.i, c.anchor, s.ts, s.size, least(len(list_filter(s.ts[c.i + 1:c.i + 21], lambda v: v < c.anchor + {6 * HOUR})), 20) AS k2, len(list_filter(s.ts[c.i + 1:c.i + 21], lambda v: v < c.anchor + {6 * HOUR})) > 20 AS bycount FROM c JOIN s USING (recording_id) WHERE c.i < s.size))
-SELECT c.recording_id, c.k AS n, list_min(s.ts[c.i - c.k + 1:c.i]) AS first_t, list_max(s.ts[c.i - c.k + 1:c.i]) AS last_t, CAST(list_sum(s.ps[c.i - c.k + 1:c.i]) AS BIGINT) AS on_cnt FROM c JOIN s USING (recording_id) WHERE c.k > 0""",
+c AS (SELECT recording_id, CAST(0 AS BIGINT) AS i, ts[1] AS anchor, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS w FROM s
+UNION ALL SELECT recording_id, i + k2, CASE WHEN bycount THEN ts[i + k2 + 1] ELSE anchor + {6 * HOUR} END, k2, w + 1 FROM (
+SELECT c.recording_id, c.w, c.i, c.anchor, s.ts, s.size, least(len(list_filter(s.ts[c.i + 1:c.i + 21], lambda v: v < c.anchor + {6 * HOUR})), 20) AS k2, len(list_filter(s.ts[c.i + 1:c.i + 21], lambda v: v < c.anchor + {6 * HOUR})) > 20 AS bycount FROM c JOIN s USING (recording_id) WHERE c.i < s.size))
+SELECT c.recording_id, c.w AS window_id, c.k AS n, list_min(s.ts[c.i - c.k + 1:c.i]) AS first_t, list_max(s.ts[c.i - c.k + 1:c.i]) AS last_t, CAST(list_sum(s.ps[c.i - c.k + 1:c.i]) AS BIGINT) AS on_cnt FROM c JOIN s USING (recording_id) WHERE c.k > 0""",
     ),
     "prefix_dt": (lambda ev: L.prefix_dt(ev, DAY), f"SELECT {COLS} FROM e WHERE t < t0 + {DAY}"),
     "skip_to_time": (lambda ev: L.skip_to_time(ev, T0 + 9 * DAY), f"SELECT {COLS} FROM e WHERE seq >= (SELECT min(seq) FROM ev v WHERE v.recording_id = e.recording_id AND v.t >= {T0 + 9 * DAY})"),
@@ -92,7 +107,7 @@ SELECT c.recording_id, c.k AS n, list_min(s.ts[c.i - c.k + 1:c.i]) AS first_t, l
     "refractory": (lambda ev: L.refractory(ev, DAY), f"SELECT {COLS} FROM e QUALIFY coalesce(t - lag(t) OVER (PARTITION BY recording_id, x, y ORDER BY seq) > {DAY}, true)"),
     "drop_bernoulli": (lambda ev: L.drop_random(ev, 0.3, T.lcg(7)), f"SELECT {COLS} FROM e WHERE {LCG} >= 0.3"),
     "drop_event": (lambda ev: L.drop_event(ev, 0.6, T.lcg(7)), f"SELECT {COLS} FROM e WHERE {LCG} >= 0.6"),
-    "drop_by_time": (lambda ev: L.drop_by_time(ev, 0.25, 0.5), f", s AS (SELECT *, CAST(floor((hi - lo) * CAST(0.25 AS DOUBLE)) AS BIGINT) AS d FROM e), z AS (SELECT *, lo + CAST(floor((hi - lo - d) * CAST(0.5 AS DOUBLE)) AS BIGINT) AS s FROM s) SELECT {COLS} FROM z WHERE t < s OR t > s + d"),
+    "drop_by_time": (lambda ev: L.drop_by_time(ev, 0.25, 0.5), f", s AS (SELECT *, (hi - lo) * CAST(0.25 AS DOUBLE) AS d FROM e), z AS (SELECT *, ((hi - lo) - d) * CAST(0.5 AS DOUBLE) AS s FROM s) SELECT {COLS} FROM z WHERE t - lo < s OR t - lo > s + d"),
     "flip_lr": (lambda ev: T.flip_lr(ev, 50), "SELECT recording_id, seq, t, CAST((49 - x) & 65535 AS INTEGER) AS x, y, p FROM e"),
     "time_skew": (lambda ev: T.time_skew(ev, -1.7, 0.5), "SELECT recording_id, seq, CAST(trunc(t * CAST(-1.7 AS DOUBLE) + 0.5) AS BIGINT) AS t, x, y, p FROM e"),
     "normalize_ts": (lambda ev: T.normalize_ts(ev, 50), "SELECT recording_id, seq, t - lo + 50 AS t, x, y, p FROM e"),
@@ -115,19 +130,23 @@ SELECT c.recording_id, c.k AS n, list_min(s.ts[c.i - c.k + 1:c.i]) AS first_t, l
     "check_valid": (lambda ev: A.validity(ev, 60, H_), "SELECT recording_id, bool_and(p IN (0, 1)) AS valid_p, bool_and(x >= 0 AND x < 60) AS valid_x, bool_and(y >= 0 AND y < 48) AS valid_y FROM e GROUP BY recording_id"),
     "metadata_summary": (A.summary, "SELECT recording_id, count(*) AS n, count(*) FILTER (p = 1) AS pos, count(*) FILTER (p <> 1) AS neg, arg_min(t, seq) AS first_t, arg_max(t, seq) AS last_t, min(t) AS min_t, max(t) AS max_t, max(x) AS max_x, max(y) AS max_y, max(t) - min(t) AS duration_us FROM e GROUP BY recording_id"),
     "center_of_mass": (lambda ev: A.center_of_mass(ev).withColumn("cx", F.round("cx", 6)).withColumn("cy", F.round("cy", 6)), "SELECT recording_id, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM e GROUP BY recording_id"),
-    "concat_recordings": (lambda ev: ev.where("recording_id = '0'").unionByName(ev.where("recording_id = '1'")), f"SELECT {COLS} FROM e WHERE recording_id IN ('0', '1')"),
-    "random_flip": (lambda ev: T.random_flip_lr(ev, W_, 0.5, 3), None),
-    "spatial_jitter": (lambda ev: T.spatial_jitter(ev, W_, H_, 2.0, 1.0, 0.5, True, 5), None),
-    "time_jitter": (lambda ev: T.time_jitter(ev, 1000.0, True, 5), None),
-    "event_jitter": (lambda ev: T.event_jitter(ev, 500, 5), None),
-    "event_jitter_n": (lambda ev: T.event_jitter_n(ev, 10.0, 100.0, 5), None),
-    "random_events": (lambda ev: T.random_events(ev.sparkSession, 1000, W_, H_, 0, 10_000, 42), None),
-    "plot_points": (lambda ev: A.plot_points(ev, 200), None),
+    "concat_recordings": (lambda ev: ev.where("recording_id in ('0', '1')").unionByName(ev.where("recording_id not in ('0', '1')")), f"SELECT {COLS} FROM e"),
+    "capped_windows": (lambda ev: _per_window(W.capped(ev, DAY, 10, keep_grid=True)).drop("window_id"), f", r AS (SELECT *, (t - t0) // {DAY} AS d, (row_number() OVER (PARTITION BY recording_id, (t - t0) // {DAY} ORDER BY seq) - 1) // 10 AS piece FROM e) SELECT recording_id, count(*) AS n, min(t) AS first_t, max(t) AS last_t, CAST(sum(p) AS BIGINT) AS on_cnt FROM r GROUP BY recording_id, d, piece"),
+    "seek_relative": (lambda ev: A.seek(ev, t=3 * DAY, relative=True), f"SELECT {COLS} FROM e WHERE t >= t0 + {3 * DAY}"),
+    "check_all": (lambda ev: A.is_valid(ev, W_, H_), "SELECT recording_id, bool_and(ok AND p IN (0, 1) AND x >= 0 AND x < 64 AND y >= 0 AND y < 48) AS is_valid FROM (SELECT *, coalesce(t >= lag(t) OVER (PARTITION BY recording_id ORDER BY seq), true) AS ok FROM e) GROUP BY recording_id"),
+    "random_flip": (lambda ev: T.random_flip_lr(ev, W_, 0.5, u=T.lcg(3, F.col("recording_id").cast("long") * 7919 + 7919)), f"SELECT recording_id, seq, t, CAST(CASE WHEN {_u(3, 'CAST(recording_id AS BIGINT) * 7919 + 7919')} <= 0.5 THEN 63 - x ELSE x END AS INTEGER) AS x, y, p FROM e"),
+    "spatial_jitter": (lambda ev: T.spatial_jitter(ev, W_, H_, 2.0, 1.0, 0.5, True, u=tuple(T.lcg(5, F.expr(k)) for k in KEYS)), f", j AS (SELECT recording_id, seq, t, p, x + {SQRT2} * {_n(U[0], U[1])} AS fx, y + {0.5 / SQRT2} * {_n(U[0], U[1])} + {REST} * {_n(U[2], U[3])} AS fy FROM e) SELECT recording_id, seq, t, CAST(floor(fx) AS INTEGER) AS x, CAST(floor(fy) AS INTEGER) AS y, p FROM j WHERE fx >= 0 AND fx < 64 AND fy >= 0 AND fy < 48"),
+    "time_jitter": (lambda ev: T.time_jitter(ev, 1000.0, True, u=tuple(T.lcg(5, F.expr(k)) for k in KEYS[:2])), f"SELECT recording_id, seq, CAST(trunc(t + 1000.0::DOUBLE * {_n(U[0], U[1])}) AS BIGINT) AS t, x, y, p FROM e"),
+    "event_jitter": (lambda ev: T.event_jitter(ev, 500, u=T.lcg(5, F.expr(KEYS[0])), sort=True), f"SELECT recording_id, seq, t + CAST(floor({U[0]} * 1001) AS BIGINT) - 500 AS t, x, y, p FROM e"),
+    "event_jitter_n": (lambda ev: T.event_jitter_n(ev, 10.0, 100.0, u=tuple(T.lcg(5, F.expr(k)) for k in KEYS[:2])), f"SELECT recording_id, seq, t + CAST(round_even({_n(U[0], U[1])} * 100.0::DOUBLE + 10.0::DOUBLE, 0) AS BIGINT) AS t, x, y, p FROM e"),
+    "random_events": (lambda ev: T.random_events(ev.sparkSession, 1000, W_, H_, 0, 10_000, slices=3, u=lambda i: T.lcg(5, F.expr(KEYS[i]))), f", g AS (SELECT CAST(floor((least(seq // 333, 2) + {U[0]}) * (10000::DOUBLE / 3)) AS BIGINT) AS t, CAST(floor({U[1]} * 64) AS INTEGER) AS x, CAST(floor({U[2]} * 48) AS INTEGER) AS y, CAST(floor({U[3]} * 2) AS SMALLINT) AS p FROM range(1000) r(seq)) SELECT 'random' AS recording_id, row_number() OVER (ORDER BY t, x, y, p) - 1 AS seq, t, x, y, p FROM g"),
+    "plot_points": (lambda ev: A.plot_points(ev, 200).withColumn("z", F.round("z", 6)), ", k AS (SELECT *, count(*) OVER (PARTITION BY recording_id) AS c FROM e) SELECT recording_id, seq, x, y, p, round(CASE WHEN hi > lo THEN (t - lo) / CAST(hi - lo AS DOUBLE) * 3000 ELSE 0.0 END, 6) AS z FROM k WHERE n % greatest(1, CAST(ceil(c / 200.0) AS BIGINT)) = 0"),
 }
 # name: (query over events and triggers, SQL after the common part)
 _BOTH = {
     "triggers_by_window": (lambda ev, tr: W.triggers_by_time(ev, tr, DAY), f"SELECT tr.recording_id, seq, t, p, id, least(greatest(0, (t - t0) // {DAY}), (hi - t0) // {DAY}) AS window_id FROM tr JOIN a USING (recording_id)"),
     "triggers_by_count": (lambda ev, tr: W.triggers_by_count(ev, tr, 70), ", f AS (SELECT recording_id, n // 70 AS w, min(t) AS t FROM e WHERE n >= 70 GROUP BY ALL) SELECT tr.recording_id, tr.seq, tr.t, tr.p, tr.id, coalesce(max(f.w), 0) AS window_id FROM tr LEFT JOIN f ON f.recording_id = tr.recording_id AND f.t <= tr.t GROUP BY ALL"),
+    "triggers_by_mixed": (lambda ev, tr: W.triggers_by_start(W.mixed(ev, 6 * HOUR, 20), tr), None),
 }
 
 

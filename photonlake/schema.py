@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 EVENTS = "recording_id string, seq long, t long, x int, y int, p short"
 TRIGGERS = "recording_id string, seq long, t long, p short, id short"
@@ -31,16 +30,3 @@ def load(spark: SparkSession, sf_dir: str) -> DataFrame:
 def load_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adapt_triggers(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
-
-def sensor(events: DataFrame, size: tuple[int, int] | None = None) -> tuple[int, int]:
-    """Explicit size, or the default one."""
-    if size is None:
-        return WIDTH, HEIGHT
-    if min(size) <= 0:
-        raise ValueError("sensor size must be positive")
-    return size
-
-
-def as_micros(events: DataFrame) -> DataFrame:
-    """A timestamp view of t for engines that want event time."""
-    return events.withColumn("ts", F.timestamp_micros("t"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import uuid
+import zlib
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -10,7 +14,24 @@ from pyspark.sql import functions as F
 
 from .. import schema
 from ..plans.dims import FEW
-from . import codecs
+from . import codecs, splits
+
+
+def parts(name: str, data: bytes, fmt: str | None, **options):
+    """Columns of a recording, piece by piece where the format allows it."""
+    plain, data = codecs.decompress(name, data)
+    fmt = fmt or codecs.sniff(plain, data)
+    return codecs.pieces(fmt, data, **options) if fmt in codecs.PIECEWISE else [codecs.decode(plain, data, fmt, **options)]
+
+
+def batch(name: str, seq: int, part, triggers: bool) -> pa.RecordBatch:
+    """Rows of the events or triggers of decoded columns, numbered from seq."""
+    t, x, y, p, tt, tp, ti = part
+    rows = tt if triggers else t
+    columns = [pa.array(np.full(len(rows), name, object), pa.string()), pa.array(np.arange(seq, seq + len(rows)))]
+    if triggers:
+        return pa.RecordBatch.from_arrays([*columns, pa.array(tt), pa.array(tp.astype(np.int16)), pa.array(ti.astype(np.int16))], ["recording_id", "seq", "t", "p", "id"])
+    return pa.RecordBatch.from_arrays([*columns, pa.array(t.astype(np.int64)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(p.astype(np.int16))], ["recording_id", "seq", "t", "x", "y", "p"])
 
 
 def _read(spark: SparkSession, path: str, fmt: str | None, triggers: bool, options: dict) -> DataFrame:
@@ -19,16 +40,12 @@ def _read(spark: SparkSession, path: str, fmt: str | None, triggers: bool, optio
     def of(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
-                t, x, y, p, tt, tp, ti = codecs.decode(name, data.as_py(), fmt, **options)
-                rows = tt if triggers else t
-                columns = [pa.array(np.full(len(rows), name, object), pa.string()), pa.array(np.arange(len(rows)))]
-                if triggers:
-                    columns += [pa.array(tt), pa.array(tp.astype(np.int16)), pa.array(ti.astype(np.int16))]
-                else:
-                    columns += [pa.array(t.astype(np.int64)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(p.astype(np.int16))]
-                whole = pa.RecordBatch.from_arrays(columns, ["recording_id", "seq", "t", "p", "id"] if triggers else ["recording_id", "seq", "t", "x", "y", "p"])
-                for k in range(0, len(rows), 1 << 18):
-                    yield whole.slice(k, 1 << 18)
+                seq = 0
+                for part in parts(name, data.as_py(), fmt, **options):
+                    whole = batch(name, seq, part, triggers)
+                    seq += whole.num_rows
+                    for k in range(0, whole.num_rows, 1 << 18):
+                        yield whole.slice(k, 1 << 18)
 
     return files.mapInArrow(of, schema.TRIGGERS if triggers else schema.EVENTS)
 
@@ -74,14 +91,52 @@ def read_csv_events(spark: SparkSession, path: str, delimiter: str = ",", order:
     return rows.select("recording_id", "seq", number("t").alias("t"), narrow("x", 65535, "int"), narrow("y", 65535, "int"), narrow("p", 255, "short"))
 
 
-def encoded(events: DataFrame, fmt: str, width: int = schema.WIDTH, height: int = schema.HEIGHT) -> DataFrame:
-    """recording_id, content: the bytes of each recording. A recording is encoded in one task, as formats are sequential."""
+def encoded(events: DataFrame, fmt: str, width: int = schema.WIDTH, height: int = schema.HEIGHT, triggers: DataFrame | None = None, **options) -> DataFrame:
+    """recording_id, content: the bytes of each recording, with its triggers. A recording is encoded in one task, as formats are sequential."""
+    columns = ["recording_id", "seq", "t", "x", "y", "p", "id"]
+    rows = events.select(*columns[:6], F.lit(None).cast("short").alias("id"))
+    marked = triggers is not None
+    if marked:
+        none = F.lit(0)
+        rows = rows.unionByName(triggers.select("recording_id", "seq", "t", none.alias("x"), none.alias("y"), "p", "id"))
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[:1], "content": [codecs.encode(fmt, pdf["t"], pdf["x"], pdf["y"], pdf["p"], width, height)]})
+        pdf = pdf.sort_values("seq", kind="stable")
+        e, r = pdf[pdf["id"].isna()], pdf[pdf["id"].notna()]
+        found = (r["t"], r["p"], r["id"].astype(np.int64)) if marked else None
+        return pd.DataFrame({"recording_id": pdf["recording_id"].iloc[:1], "content": [codecs.encode(fmt, e["t"], e["x"], e["y"], e["p"], width, height, found, **options)]})
+
+    return rows.groupBy("recording_id").applyInPandas(of, "recording_id string, content binary")
 
-    return events.groupBy("recording_id").applyInPandas(of, "recording_id string, content binary")
+
+def write_events(events: DataFrame, folder: str, fmt: str, compression: str = "", width: int = schema.WIDTH, height: int = schema.HEIGHT, triggers: DataFrame | None = None, **options) -> DataFrame:
+    """Writes a file for each recording to a folder that all executors share (a path, or a URI that Arrow's file systems know).
+
+    compression is "", gz, bz2, xz or zst. Gives recording_id, path, bytes. A file appears whole: it is written under another name and
+    then moved, so a task that is run again replaces it. Names are the last part of recording_id, what is no letter, digit, ``.``, ``-`` or ``_`` as ``_``,
+    and a hash of the whole id.
+    """
+    suffix = {"hdf5": "h5"}.get(fmt, fmt)
+
+    def of(batches):
+        store, base = splits.store_of(folder)
+        store.create_dir(base, recursive=True)
+        for b in batches:
+            paths, sizes = [], []
+            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
+                end, data = codecs.compress(compression, content.as_py())
+                short = re.sub(r"[^A-Za-z0-9._-]", "_", name.rsplit("/", 1)[-1])
+                path = f"{base}/{short}-{zlib.crc32(name.encode()):08x}.{suffix}{end}"
+                part = f"{path}.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part, compression=None) as out:
+                    out.write(data)
+                store.move(part, path)
+                paths.append(path)
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(paths, pa.string()), pa.array(sizes, pa.int64())], ["recording_id", "path", "bytes"])
+
+    rows = encoded(events, fmt, width, height, triggers, **options).mapInArrow(of, "recording_id string, path string, bytes long").collect()
+    return events.sparkSession.createDataFrame(rows, "recording_id string, path string, bytes long")
 
 
 def recordings(events: DataFrame, fmt: str, width: int = schema.WIDTH, height: int = schema.HEIGHT) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.windows import positive
+from ..operators.windows import MixedState, positive
 
 
 def refractory(stream: DataFrame, delta: int) -> DataFrame:
@@ -21,11 +21,13 @@ def refractory(stream: DataFrame, delta: int) -> DataFrame:
         last = state.get[0] if state.exists else None
         for pdf in parts:
             pdf = pdf.sort_values("seq")
-            keep = []
-            for t in pdf["t"]:
-                keep.append(last is None or t - last > delta)
-                last = t
-            yield pdf[pd.Series(keep, index=pdf.index, dtype=bool)]
+            t = pdf["t"].to_numpy()
+            since = np.diff(t, prepend=t[0] if last is None else last)
+            keep = since > delta
+            if last is None:
+                keep[0] = True
+            last = int(t[-1])
+            yield pdf[keep]
         if last is not None:
             state.update((int(last),))
 
@@ -73,18 +75,10 @@ def mixed(stream: DataFrame, delta_t: int, n_events: int) -> DataFrame:
 
     def of(key, parts, state):
         pdf = pd.concat(list(parts)).sort_values("seq")
-        start, size, k = state.get if state.exists else (int(pdf["t"].iloc[0]), 0, 0)
-        found = []
-        for t in pdf["t"].tolist():
-            if t >= start + delta_t:
-                k, size = k + (size > 0), 0
-                start += (t - start) // delta_t * delta_t
-            elif size == n_events:
-                k, size, start = k + 1, 0, t
-            size += 1
-            found.append(k)
-        state.update((start, size, k))
-        yield pdf[names].assign(window_id=np.array(found, np.int64))
+        now = MixedState(delta_t, n_events, *(state.get if state.exists else ()))
+        found = now.take(pdf["t"].to_numpy())
+        state.update((int(now.start), int(now.size), int(now.k)))
+        yield pdf[names].assign(window_id=found)
 
     return stream.groupBy("recording_id").applyInPandasWithState(of, schema, "start long, size long, k long", "append", GroupStateTimeout.NoTimeout)
 

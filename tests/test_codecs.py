@@ -129,3 +129,167 @@ def test_csv_in_splits(spark, tmp_path):
     (tmp_path / "bad.csv").write_bytes(b"t,x,y\n1,2,3")
     with pytest.raises(Exception, match="lacks a column"):
         read_csv_events(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def scalar_evt3(words):
+    """One word after the other."""
+    out, warned = [], 0
+    high = wraps = t = y = base = p = i = 0
+    while i < len(words) and words[i] >> 12 != 8 and any(w >> 12 == 8 for w in words):
+        i += 1
+    while i < len(words):
+        kind, data = words[i] >> 12, words[i] & 0xFFF
+        if kind == 8:
+            wraps += data < high
+            high = data
+        elif kind == 6:
+            t = (wraps << 24) + (high << 12) + data
+        elif kind == 0:
+            y = data & 2047
+        elif kind == 3:
+            base, p = data & 2047, data >> 11
+        elif kind == 2:
+            out.append((t, data & 2047, y, data >> 11))
+        elif kind == 5:
+            warned += 1
+        elif kind == 4:
+            bits = data
+            if i + 1 < len(words) and words[i + 1] >> 12 == 4:
+                i += 1
+                bits |= (words[i] & 0xFFF) << 12
+                if i + 1 < len(words) and words[i + 1] >> 12 == 5:
+                    i += 1
+                    bits |= (words[i] & 0xFF) << 24
+            out += [(t, base + k & 65535, y, p) for k in range(32) if bits >> k & 1]
+            base = base + 32 & 65535
+        i += 1
+    return out, warned
+
+
+def evt3_of(words, **options):
+    return list(zip(*(c.tolist() for c in codecs.evt3(np.array(words, "<u2").tobytes(), **options)[:4])))
+
+
+@pytest.mark.filterwarnings("ignore:.*vector words")
+def test_evt3_word_by_word():
+    xs = lambda *w: [e[1] for e in evt3_of([0x8000, 0x6000, *w])]
+    assert xs(0x3000, 0x4001, 0x6001, 0x4001) == [0, 32]
+    assert xs(0x3000, *[0x4001] * 4) == [0, 12, 32, 44]
+    with pytest.warns(UserWarning):
+        assert xs(0x3000, 0x5001, 0x2007) == [7]
+    with pytest.raises(ValueError):
+        evt3_of([0x8000, 0x6000, 0x3000, 0x5001], strict=True)
+    assert [e[0] for e in evt3_of([0x8000, 0x6005, 0x2001, 0x8001, 0x2001, 0x6000, 0x2001])] == [5, 5, 4096]
+    r = np.random.default_rng(3)
+    for n in (1, 5, 2000):
+        for _ in range(20):
+            kinds = r.choice([0, 2, 3, 4, 4, 4, 5, 6, 8, 10, 14], n)
+            words = (kinds << 12 | r.integers(0, 4096, n)).tolist()
+            assert evt3_of(words) == scalar_evt3(words)[0]
+
+
+@pytest.mark.filterwarnings("ignore:.*vector words")
+@pytest.mark.parametrize("fmt", ["evt2", "evt21", "evt3", "evt4", "dat"])
+def test_pieces_equal_the_whole(fmt):
+    r = np.random.default_rng(5)
+    wide, shift, kind = codecs.PIECEWISE[fmt]
+    data = codecs.encode(fmt, *events(4000, span=2**26 if fmt != "evt3" else 2**27), triggers=None) + (r.integers(0, 2**16, 8000).astype("<u2").tobytes() if fmt != "dat" else b"")
+    whole = getattr(codecs, fmt)(data[codecs.body_at(fmt, data) :])
+    for size in (64, 1000, 7777):
+        parts = list(codecs.pieces(fmt, data, size))
+        assert len(parts) > 3 and all(np.array_equal(np.concatenate(c), w) for c, w in zip(zip(*parts), whole))
+
+
+@pytest.mark.parametrize("fmt", ["evt2", "evt21", "evt3", "evt4", "aedat4"])
+def test_triggers_round_trip(fmt):
+    t, x, y, p = events(100)
+    marks = np.array([10_000, 10_064, 20_000]), np.array([1, 0, 1]), np.array([3, 3, 7])
+    got = codecs.decode(f"a.{fmt}", codecs.encode(fmt, t, x, y, p, triggers=marks))
+    assert all(np.array_equal(a, b) for a, b in zip((t, x, y, p, *marks[:2]), got))
+    assert fmt == "aedat4" or got[6].tolist() == [3, 3, 7]
+    with pytest.warns(UserWarning):
+        codecs.encode("csv", t, x, y, p, triggers=marks)
+
+
+def test_options_of_codecs():
+    t, x, y, p = events(50)
+    data = codecs.encode("csv", t, x, y, p, sep=";", order="pxyt", header=False)
+    assert all(np.array_equal(a, b) for a, b in zip((t, x, y, p), codecs.csv(data, ";", tuple("pxyt"))))
+    assert codecs.csv(b"99999999999999999999,1,2,1")[0].tolist() == [0]
+    flat = np.zeros(5000, int)
+    assert len(codecs.encode("npz", flat, flat, flat, flat, compressed=True)) < len(codecs.encode("npz", flat, flat, flat, flat)) / 10
+    aer = codecs.encode("aer", t, x, y, p)
+    assert np.array_equal(codecs.decode("a.aer", aer, timestamps=t)[0], t)
+    with pytest.raises(ValueError):
+        codecs.decode("a.aer", aer, timestamps=t[:10])
+    assert codecs.sniff("plain", codecs.encode("dat", t, x, y, p)) == "dat" and codecs.sniff("plain", codecs.encode("evt2", t, x, y, p)) == "evt2"
+    head = b"% evt 2.1\n% endianness little\n% end\n"
+    with pytest.raises(NotImplementedError):
+        codecs.decode("a.raw", head + bytes(16))
+    for name in ("gz", "bz2", "xz", "zst"):
+        end, packed = codecs.compress(name, aer)
+        assert codecs.decompress(f"a.aer{end}", packed) == ("a.aer", aer)
+    codecs.EXTRA["own"] = lambda data: (np.arange(len(data)),) * 7
+    try:
+        assert len(codecs.decode("a.own", b"abc")[0]) == 3
+    finally:
+        del codecs.EXTRA["own"]
+
+
+@pytest.mark.parametrize("fmt", ["evt2", "evt21", "evt3", "evt4", "dat"])
+def test_splits(spark, tmp_path, fmt):
+    from photonlake import schema
+    from photonlake.sources import datasource, recordings, splits
+
+    t, x, y, p = events(6000, side=300, span=2**26)
+    rows = [(name, i, *map(int, e)) for name in "ab" for i, e in enumerate(zip(t, x, y, p))]
+    marks = [("a", i, int(v), i % 2, i % 8) for i, v in enumerate(t[::500])]
+    df = spark.createDataFrame(rows, schema.EVENTS)
+    triggers = spark.createDataFrame(marks, schema.TRIGGERS) if fmt != "dat" else None
+    folder, key = str(tmp_path / "in"), lambda d: sorted(tuple(r)[1:] for r in d.collect())
+    written = recordings.write_events(df, folder, fmt, triggers=triggers)
+    assert written.count() == 2
+    index = splits.build_index(spark, folder, size=4000)
+    index.write.parquet(str(tmp_path / "index"))
+    assert index.count() > 8
+    want = sorted(r[1:] for r in rows)
+    assert key(recordings.read_events(spark, folder)) == want == key(splits.read_indexed(index))
+    a, z = int(t[2000]), int(t[2500])
+    assert key(splits.read_indexed(index, since=a, until=z)) == [r for r in want if a <= r[1] < z]
+    datasource.register(spark)
+    source = spark.read.format("event_recordings")
+    assert key(source.load(folder)) == want == key(source.option("index", str(tmp_path / "index")).load(folder))
+    if triggers is not None:
+        assert key(splits.read_indexed(index, triggers=True)) == sorted(m[1:] for m in marks)
+    from pyspark.sql.datasource import GreaterThanOrEqual, LessThan
+
+    reader = datasource._Reader({"path": folder, "index": str(tmp_path / "index")}, False)
+    every = len(reader.partitions())
+    assert len(list(reader.pushFilters([GreaterThanOrEqual(("t",), a), LessThan(("t",), z)]))) == 2 and 0 < len(reader.partitions()) < every / 2
+
+
+def test_windows_of_readers(spark):
+    from photonlake import schema
+    from photonlake.operators import access, windows
+
+    t = [0, 1, 2, 3, 50, 51, 52, 53, 54, 300]
+    df = spark.createDataFrame([("a", i, v, 0, 0, 1) for i, v in enumerate(t)], schema.EVENTS)
+    ids = lambda d: [r.window_id for r in d.orderBy("seq").collect()]
+    assert ids(windows.mixed(df, 100, 3)) == mixed_cuts(t, 100, 3) == [0, 0, 0, 1, 1, 1, 2, 2, 2, 4]
+    assert ids(windows.capped(df, 100, 3, keep_grid=True)) == [0, 0, 0, 1, 1, 1, 2, 2, 2, 5]
+    assert ids(windows.overridden(df, "n_events", n_events=4)) == [0, 0, 0, 0, 1, 1, 1, 1, 2, 2]
+    assert ids(windows.overridden(df, "delta_t", delta_t=100)) == [0] * 9 + [3] and set(ids(windows.overridden(df, "all"))) == {0}
+    assert [r.seq for r in access.seek(df.withColumn("t", df.t + 1000), t=52, relative=True).orderBy("seq").collect()] == [6, 7, 8, 9]
+    marks = spark.createDataFrame([("a", 0, 2, 1, 0), ("a", 1, 52, 0, 0), ("a", 2, 999, 1, 0)], schema.TRIGGERS)
+    assert sorted((r.seq, r.window_id) for r in windows.triggers_by_start(windows.mixed(df, 100, 3), marks).collect()) == [(0, 0), (1, 2), (2, 4)]
+
+
+def test_jitter_leaves_the_sensor(spark):
+    from photonlake import schema
+    from photonlake.functions import transforms
+
+    df = spark.createDataFrame([("a", i, i, 0, 5, 1) for i in range(2000)], schema.EVENTS)
+    kept = transforms.spatial_jitter(df, 64, 48, 1.0, 0.0, 0.0, True, 5).count()
+    assert 850 < kept < 1150
+    assert transforms.spatial_jitter(df, 64, 48, 1.0, 0.0, 0.0, False, 5).count() == 2000
+    assert transforms.time_jitter(df, (10.0, 20.0), False, 5, sort=True).select("t").collect() == sorted(transforms.time_jitter(df, (10.0, 20.0), False, 5).select("t").collect())

@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from photonlake.plans.queries import ORACLE, QUERIES
+from photonlake.plans import files, queries
+
+ORACLE, QUERIES = queries.ORACLE | files.ORACLE, queries.QUERIES | files.QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
