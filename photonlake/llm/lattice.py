@@ -11,6 +11,7 @@ their scores in a join.
 
 from __future__ import annotations
 
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -30,6 +31,8 @@ ROUNDS, GAIN = 6, 0.002
 WIDE = 64
 PRIOR = 0.1
 _B = np.uint64(0x9E3779B97F4A7C15)
+#: First bits of a hash that tell where its search begins.
+BITS = 18
 _START = 32
 
 
@@ -72,7 +75,9 @@ class Lattice:
             prefixes[p] = i
         keys = np.array([self._hash(p) for p in prefixes], np.uint64)
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], np.array(list(prefixes.values()))[order]
+        # the last key ends every search
+        self.keys, self.ids = np.append(keys[order], np.uint64(2**64 - 1)), np.append(np.array(list(prefixes.values()))[order], -1)
+        self.first = np.searchsorted(self.keys, np.arange(1 << BITS, dtype=np.uint64) << np.uint64(64 - BITS)).astype(np.int32)
         self.longest = max(map(len, names))
         self.table = prefixes
 
@@ -83,6 +88,21 @@ class Lattice:
             h = ((h ^ (b + 1)) * int(_B) + 0x632BE59BD9B4E019) & (2**64 - 1)
         return h
 
+    def weighted(self, weights: np.ndarray) -> Lattice:
+        """The same pieces with other weights."""
+        other = copy(self)
+        other.weights = weights
+        return other
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Place of the first key that is no less than each hash."""
+        at = self.first[h >> np.uint64(64 - BITS)]
+        late = np.flatnonzero(self.keys[at] < h)
+        while len(late):
+            at[late] += 1
+            late = late[self.keys[at[late]] < h[late]]
+        return at
+
     def edges(self, rows: np.ndarray):
         """Start, length, rows and pieces of all occurrences in words of one length (rows of bytes)."""
         n, m = rows.shape
@@ -90,8 +110,7 @@ class Lattice:
             live, h = np.arange(n), np.ones(n, np.uint64)
             for size in range(1, min(self.longest, m - i) + 1):
                 h = (h ^ (rows[live, i + size - 1].astype(np.uint64) + np.uint64(1))) * _B + np.uint64(0x632BE59BD9B4E019)
-                at = np.searchsorted(self.keys, h)
-                at[at == len(self.keys)] = 0
+                at = self.find(h)
                 ok = self.keys[at] == h
                 live, h, piece = live[ok], h[ok], self.ids[at[ok]]
                 if not len(live):
@@ -193,6 +212,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 def fit(counts: DataFrame, texts: int, path: str | None = None, rounds: int = ROUNDS) -> tuple[Lattice, float]:
     """Lattice and the log probability that the end, and no word, comes next, by EM over the training words; the state that is summed is as large as the vocabulary."""
     names, weights = pieces(path)
+    lattice = Lattice(names, weights)
     prior = PRIOR + 1000 * np.exp(weights)
     used = counts.where("c > 0").select("word", "c")
     starts = np.array([n[:1] == b" " for n in names])
@@ -200,11 +220,11 @@ def fit(counts: DataFrame, texts: int, path: str | None = None, rounds: int = RO
     for _ in range(rounds):
 
         def expect(batches, weights=weights):
-            lattice, total, ll = Lattice(names, weights), np.zeros(len(names)), 0.0
+            now, total, ll = lattice.weighted(weights), np.zeros(len(names)), 0.0
             for b in batches:
                 if b.num_rows:
                     c = b.column(1).to_numpy().astype(float)
-                    ll += float(c @ lattice.words(b.column(0).to_pylist(), c, total))
+                    ll += float(c @ now.words(b.column(0).to_pylist(), c, total))
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], ll))], ["piece", "x"])
 
@@ -219,7 +239,7 @@ def fit(counts: DataFrame, texts: int, path: str | None = None, rounds: int = RO
         if before is not None and ll - before < GAIN * abs(before):
             break
         before = ll
-    return Lattice(names, weights), end
+    return lattice.weighted(weights), end
 
 
 def lm_scores(docs: DataFrame, train, path: str | None = None, top: int = TOP) -> DataFrame:
