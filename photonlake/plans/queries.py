@@ -78,6 +78,13 @@ def _composed(ev):
     return chain(ev)
 
 
+#: One row a mixed window: where it ends, how many events it has, its number.
+MIXED = f""", s AS (SELECT recording_id, list(t ORDER BY seq) AS ts, list(p ORDER BY seq) AS ps, count(*) AS size FROM ev GROUP BY recording_id),
+c AS (SELECT recording_id, CAST(0 AS BIGINT) AS i, ts[1] AS anchor, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS w FROM s
+UNION ALL SELECT recording_id, i + k2, CASE WHEN bycount THEN ts[i + k2 + 1] ELSE anchor + {6 * HOUR} END, k2, w + 1 FROM (
+SELECT c.recording_id, c.w, c.i, c.anchor, s.ts, s.size, least(len(list_filter(s.ts[c.i + 1:c.i + 21], lambda v: v < c.anchor + {6 * HOUR})), 20) AS k2, len(list_filter(s.ts[c.i + 1:c.i + 21], lambda v: v < c.anchor + {6 * HOUR})) > 20 AS bycount FROM c JOIN s USING (recording_id) WHERE c.i < s.size))
+"""
+
 # name: (query over events, SQL after the common part)
 _EVENTS = {
     "hourly_histogram": (flagship, f"SELECT recording_id, (t - t0) // {HOUR} AS window_id, y, x, {ONOFF} FROM e GROUP BY ALL"),
@@ -89,11 +96,7 @@ _EVENTS = {
     "count_windows": (lambda ev: _per_window(W.by_count(ev, 70)), f", w AS (SELECT *, n // 70 AS window_id FROM e) {PER}"),
     "mixed_windows": (
         lambda ev: _per_window(W.mixed(ev, 6 * HOUR, 20)),
-    f""", s AS (SELECT recording_id, list(t ORDER BY seq) AS ts, list(p ORDER BY seq) AS ps, count(*) AS size FROM ev GROUP BY recording_id),
-c AS (SELECT recording_id, CAST(0 AS BIGINT) AS i, ts[1] AS anchor, CAST(0 AS BIGINT) AS k, CAST(-1 AS BIGINT) AS w FROM s
-UNION ALL SELECT recording_id, i + k2, CASE WHEN bycount THEN ts[i + k2 + 1] ELSE anchor + {6 * HOUR} END, k2, w + 1 FROM (
-SELECT c.recording_id, c.w, c.i, c.anchor, s.ts, s.size, least(len(list_filter(s.ts[c.i + 1:c.i + 21], lambda v: v < c.anchor + {6 * HOUR})), 20) AS k2, len(list_filter(s.ts[c.i + 1:c.i + 21], lambda v: v < c.anchor + {6 * HOUR})) > 20 AS bycount FROM c JOIN s USING (recording_id) WHERE c.i < s.size))
-SELECT c.recording_id, c.w AS window_id, c.k AS n, list_min(s.ts[c.i - c.k + 1:c.i]) AS first_t, list_max(s.ts[c.i - c.k + 1:c.i]) AS last_t, CAST(list_sum(s.ps[c.i - c.k + 1:c.i]) AS BIGINT) AS on_cnt FROM c JOIN s USING (recording_id) WHERE c.k > 0""",
+        MIXED + """SELECT c.recording_id, c.w AS window_id, c.k AS n, list_min(s.ts[c.i - c.k + 1:c.i]) AS first_t, list_max(s.ts[c.i - c.k + 1:c.i]) AS last_t, CAST(list_sum(s.ps[c.i - c.k + 1:c.i]) AS BIGINT) AS on_cnt FROM c JOIN s USING (recording_id) WHERE c.k > 0""",
     ),
     "prefix_dt": (lambda ev: L.prefix_dt(ev, DAY), f"SELECT {COLS} FROM e WHERE t < t0 + {DAY}"),
     "skip_to_time": (lambda ev: L.skip_to_time(ev, T0 + 9 * DAY), f"SELECT {COLS} FROM e WHERE seq >= (SELECT min(seq) FROM ev v WHERE v.recording_id = e.recording_id AND v.t >= {T0 + 9 * DAY})"),
@@ -132,6 +135,8 @@ SELECT c.recording_id, c.w AS window_id, c.k AS n, list_min(s.ts[c.i - c.k + 1:c
     "center_of_mass": (lambda ev: A.center_of_mass(ev).withColumn("cx", F.round("cx", 6)).withColumn("cy", F.round("cy", 6)), "SELECT recording_id, CAST(sum(x) AS BIGINT) AS sum_x, CAST(sum(y) AS BIGINT) AS sum_y, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM e GROUP BY recording_id"),
     "concat_recordings": (lambda ev: ev.where("recording_id in ('0', '1')").unionByName(ev.where("recording_id not in ('0', '1')")), f"SELECT {COLS} FROM e"),
     "capped_windows": (lambda ev: _per_window(W.capped(ev, DAY, 10, keep_grid=True)).drop("window_id"), f", r AS (SELECT *, (t - t0) // {DAY} AS d, (row_number() OVER (PARTITION BY recording_id, (t - t0) // {DAY} ORDER BY seq) - 1) // 10 AS piece FROM e) SELECT recording_id, count(*) AS n, min(t) AS first_t, max(t) AS last_t, CAST(sum(p) AS BIGINT) AS on_cnt FROM r GROUP BY recording_id, d, piece"),
+    "reader_time_mode": (lambda ev: _per_window(W.overridden(ev, delta_t=HOUR)), f", w AS (SELECT *, (t - t0) // {HOUR} AS window_id FROM e) {PER}"),
+    "reader_count_mode": (lambda ev: _per_window(W.overridden(ev, "n_events", n_events=70, max_time=10**15)), f", w AS (SELECT *, n // 70 AS window_id FROM e) {PER}"),
     "seek_relative": (lambda ev: A.seek(ev, t=3 * DAY, relative=True), f"SELECT {COLS} FROM e WHERE t >= t0 + {3 * DAY}"),
     "check_all": (lambda ev: A.is_valid(ev, W_, H_), "SELECT recording_id, bool_and(ok AND p IN (0, 1) AND x >= 0 AND x < 64 AND y >= 0 AND y < 48) AS is_valid FROM (SELECT *, coalesce(t >= lag(t) OVER (PARTITION BY recording_id ORDER BY seq), true) AS ok FROM e) GROUP BY recording_id"),
     "random_flip": (lambda ev: T.random_flip_lr(ev, W_, 0.5, u=T.lcg(3, F.col("recording_id").cast("long") * 7919 + 7919)), f"SELECT recording_id, seq, t, CAST(CASE WHEN {_u(3, 'CAST(recording_id AS BIGINT) * 7919 + 7919')} <= 0.5 THEN 63 - x ELSE x END AS INTEGER) AS x, y, p FROM e"),
@@ -146,7 +151,7 @@ SELECT c.recording_id, c.w AS window_id, c.k AS n, list_min(s.ts[c.i - c.k + 1:c
 _BOTH = {
     "triggers_by_window": (lambda ev, tr: W.triggers_by_time(ev, tr, DAY), f"SELECT tr.recording_id, seq, t, p, id, least(greatest(0, (t - t0) // {DAY}), (hi - t0) // {DAY}) AS window_id FROM tr JOIN a USING (recording_id)"),
     "triggers_by_count": (lambda ev, tr: W.triggers_by_count(ev, tr, 70), ", f AS (SELECT recording_id, n // 70 AS w, min(t) AS t FROM e WHERE n >= 70 GROUP BY ALL) SELECT tr.recording_id, tr.seq, tr.t, tr.p, tr.id, coalesce(max(f.w), 0) AS window_id FROM tr LEFT JOIN f ON f.recording_id = tr.recording_id AND f.t <= tr.t GROUP BY ALL"),
-    "triggers_by_mixed": (lambda ev, tr: W.triggers_by_start(W.mixed(ev, 6 * HOUR, 20), tr), None),
+    "triggers_by_mixed": (lambda ev, tr: W.triggers_by_start(W.mixed(ev, 6 * HOUR, 20), tr), MIXED + ", f AS (SELECT c.recording_id, c.w, list_min(s.ts[c.i - c.k + 1:c.i]) AS t FROM c JOIN s USING (recording_id) WHERE c.k > 0 AND c.w > 0) SELECT tr.recording_id, tr.seq, tr.t, tr.p, tr.id, coalesce(max(f.w), 0) AS window_id FROM tr LEFT JOIN f ON f.recording_id = tr.recording_id AND f.t <= tr.t GROUP BY ALL"),
 }
 
 
@@ -155,4 +160,4 @@ def _recursive(sql: str) -> str:
 
 
 QUERIES = {k: (lambda spark, d, f=f: f(schema.load(spark, d))) for k, (f, _) in _EVENTS.items()} | {k: (lambda spark, d, f=f: f(schema.load(spark, d), schema.load_triggers(spark, d))) for k, (f, _) in _BOTH.items()}
-ORACLE = {k: (_recursive(EV + sql) if k == "mixed_windows" else EV + sql) for k, (_, sql) in (_EVENTS | _BOTH).items() if sql}
+ORACLE = {k: (_recursive(EV + sql) if sql.startswith(MIXED) else EV + sql) for k, (_, sql) in (_EVENTS | _BOTH).items() if sql}

@@ -56,7 +56,7 @@ class _Reader(DataSourceReader):
         store, base = splits.store_of(self.options["path"])
         info = store.get_file_info(base)
         files = [info] if info.type == fs.FileType.File else store.get_file_info(fs.FileSelector(base, recursive=True))
-        names = sorted(f.path for f in files if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")))
+        names = sorted(f.path for f in files if f.type == fs.FileType.File and not f.base_name.startswith(("_", ".")) and not f.base_name.endswith(splits.SIDECAR))
         if "index" not in self.options:
             return [Part(n) for n in names]
         import pyarrow.dataset as ds

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 import zlib
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -35,7 +36,7 @@ def batch(name: str, seq: int, part, triggers: bool) -> pa.RecordBatch:
 
 
 def _read(spark: SparkSession, path: str, fmt: str | None, triggers: bool, options: dict) -> DataFrame:
-    files = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "content")
+    files = splits.recordings_in(spark, path).select("_metadata.file_path", "content")
 
     def of(batches):
         for b in batches:
@@ -59,6 +60,18 @@ def read_triggers(spark: SparkSession, path: str, fmt: str | None = None, **opti
     return _read(spark, path, fmt, True, options)
 
 
+class Batch(NamedTuple):
+    """Events and triggers of the same recordings."""
+
+    events: DataFrame
+    triggers: DataFrame
+
+
+def read_both(spark: SparkSession, path: str, fmt: str | None = None, **options) -> Batch:
+    """Events and triggers as a pair; formats without triggers have none."""
+    return Batch(read_events(spark, path, fmt, **options), read_triggers(spark, path, fmt, **options))
+
+
 def read_csv_events(spark: SparkSession, path: str, delimiter: str = ",", order: tuple[str, ...] = ("t", "x", "y", "p")) -> DataFrame:
     """Events of CSV files as the CSV codec gives them, for files of any size: splits of one file are read in parallel, in the JVM.
 

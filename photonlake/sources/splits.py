@@ -19,6 +19,9 @@ from . import codecs
 
 #: Bytes in a split.
 SPLIT = 64 << 20
+#: What the names of bookmark files end with.
+SIDECAR = ".tmp_index"
+BOOKMARKS = "recording_id string, ts long, first long, seq long"
 INDEX = "recording_id string, fmt string, split int, first long, last long, seq long, trigger_seq long, t_min long, t_max long, state string"
 
 
@@ -31,6 +34,52 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
+def recordings_in(spark: SparkSession, path: str) -> DataFrame:
+    """The files under a path as binaryFile gives them, without bookmark files."""
+    return spark.read.format("binaryFile").load(path).where(~F.col("path").endswith(SIDECAR))
+
+
+def bookmarks(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Time, byte offset and events before of each bookmark in a bookmark file of a recording of ``size`` bytes; none if it was made for another size.
+
+    After a header of ``% key value`` lines stand records of 20 bytes (time, offset, events up to the next), and one that ends the file.
+    """
+    none = (np.empty(0, np.int64),) * 3
+    fields, at = codecs.header(data)
+    fields = {k.lower(): v for k, v in fields.items()}
+    if fields.get("size", "") != str(size):
+        return none
+    kind = np.dtype([("ts", "<i8"), ("first", "<u8"), ("n", "<u4")])
+    rows = np.frombuffer(data, kind, (len(data) - at) // kind.itemsize, at)[:-1]
+    rows = rows[rows["ts"] >= 0]  # those before the first time
+    try:
+        shift = int(fields.get("ts_shift_us", "0"))
+    except ValueError:
+        shift = 0
+    n = rows["n"].astype(np.int64)
+    return rows["ts"] + shift, rows["first"].astype(np.int64), np.cumsum(n) - n
+
+
+def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
+    """recording_id, ts, first (byte offset), seq (events before) of the bookmark files beside the recordings under a path; files of another size than their recording's have none."""
+    marks = spark.read.format("binaryFile").option("pathGlobFilter", f"*{SIDECAR}").load(path).select(F.expr(f"substring(path, 1, length(path) - {len(SIDECAR)})").alias("path"), "content")
+    sizes = recordings_in(spark, path).select("path", F.col("_metadata.file_path").alias("recording_id"), "length")
+
+    def of(batches):
+        for b in batches:
+            for name, size, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                ts, first, seq = bookmarks(data.as_py(), size)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(ts), pa.string()), pa.array(ts), pa.array(first), pa.array(seq)], ["recording_id", "ts", "first", "seq"])
+
+    return sizes.join(marks, "path").select("recording_id", "length", "content").mapInArrow(of, BOOKMARKS)
+
+
+def bookmark_at(marks: DataFrame, t: int) -> DataFrame:
+    """The last bookmark of each recording at or before t, from which a reader reaches t; the first one if all are later."""
+    near = F.struct((F.col("ts") <= t).alias("before"), F.when(F.col("ts") <= t, F.col("seq")).otherwise(-F.col("seq")).alias("place"))
+    return marks.groupBy("recording_id").agg(F.max_by(F.struct("ts", "first", "seq"), near).alias("m")).select("recording_id", "m.*")
+
+
 def entries(name: str, data, fmt: str, size: int = SPLIT, **options):
     """Index rows of a recording: byte range, rows before it, its least and greatest time (null without rows), and the decoder's state before it."""
     state: dict = {}
@@ -69,7 +118,7 @@ def build_index(spark: SparkSession, path: str, fmt: str | None = None, size: in
             kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 6, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in INDEX.split(", ")])
 
-    files = spark.read.format("binaryFile").load(path).select("_metadata.file_path")
+    files = recordings_in(spark, path).select("_metadata.file_path")
     return files.mapInArrow(of, INDEX)
 
 

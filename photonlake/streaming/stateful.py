@@ -52,6 +52,26 @@ def tumbling(stream: DataFrame, delta_t: int) -> DataFrame:
     return stream.groupBy("recording_id").applyInPandasWithState(of, schema, "t0 long", "append", GroupStateTimeout.NoTimeout)
 
 
+def tumbling_both(stream: DataFrame, triggers: DataFrame, delta_t: int) -> DataFrame:
+    """Events (id is null) and triggers (x and y are null) with the window_id that they share. The anchor is the first event of the first
+    micro-batch with rows of the recording, or its first trigger if that has no events; what is earlier is in window 0."""
+    positive("delta_t", delta_t)
+    none = F.lit(None)
+    rows = stream.select("recording_id", "seq", "t", "x", "y", "p", none.cast("short").alias("id"))
+    rows = rows.unionByName(triggers.select("recording_id", "seq", "t", none.cast("int").alias("x"), none.cast("int").alias("y"), "p", "id"))
+    schema = ", ".join(f"{n} {k}" for n, k in rows.dtypes) + ", window_id long"
+
+    def of(key, parts, state):
+        pdf = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        if not state.exists:
+            events = pdf[pdf["id"].isna()]
+            state.update((int((events if len(events) else pdf)["t"].iloc[0]),))
+        whole = {c: pdf[c].astype("Int64") for c in ("x", "y", "id")}
+        yield pdf.assign(**whole, window_id=((pdf["t"] - state.get[0]) // delta_t).clip(lower=0))
+
+    return rows.groupBy("recording_id").applyInPandasWithState(of, schema, "t0 long", "append", GroupStateTimeout.NoTimeout)
+
+
 def by_count(stream: DataFrame, n_events: int) -> DataFrame:
     """Events with window_id = position div n_events; the state is how many events the recording has had. Rows of a micro-batch are taken in seq order."""
     positive("n_events", n_events)

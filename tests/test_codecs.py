@@ -293,3 +293,28 @@ def test_jitter_leaves_the_sensor(spark):
     assert 850 < kept < 1150
     assert transforms.spatial_jitter(df, 64, 48, 1.0, 0.0, 0.0, False, 5).count() == 2000
     assert transforms.time_jitter(df, (10.0, 20.0), False, 5, sort=True).select("t").collect() == sorted(transforms.time_jitter(df, (10.0, 20.0), False, 5).select("t").collect())
+
+
+def test_bookmarks(spark, tmp_path):
+    from photonlake.sources.recordings import read_both
+    from photonlake.sources.splits import bookmark_at, bookmarks, build_index, read_bookmarks
+
+    t, x, y, p = events(2000)
+    data = codecs.encode("evt2", t, x, y, p, triggers=([50, 900], [1, 0], [3, 3]))
+    (tmp_path / "a.raw").write_bytes(data)
+    (tmp_path / "b.raw").write_bytes(data)
+    kind = np.dtype([("ts", "<i8"), ("first", "<u8"), ("n", "<u4")])
+    marks = np.array([(-1, 0, 0), (100, 200, 40), (600, 900, 60), (1500, 2000, 7), (123, 456, 789)], kind).tobytes()
+    head = lambda size: f"% ts_shift_us 1000\n% size {size}\n% end\n".encode()
+    (tmp_path / "a.raw.tmp_index").write_bytes(head(len(data)) + marks)
+    (tmp_path / "b.raw.tmp_index").write_bytes(head(len(data) + 1) + marks)  # of another state of the file
+    assert [c.tolist() for c in bookmarks(head(5) + marks, 5)] == [[1100, 1600, 2500], [200, 900, 2000], [0, 40, 100]]
+    assert not len(bookmarks(b"", 5)[0]) and not len(bookmarks(head(5), 5)[0])
+    got = read_bookmarks(spark, str(tmp_path))
+    assert sorted(tuple(r)[1:] for r in got.collect()) == [(1100, 200, 0), (1600, 900, 40), (2500, 2000, 100)]
+    assert all(r.recording_id.endswith("/a.raw") for r in got.collect())
+    for at, want in ((0, 1100), (1100, 1100), (2000, 1600), (10**9, 2500)):
+        assert [r.ts for r in bookmark_at(got, at).collect()] == [want]
+    both = read_both(spark, str(tmp_path), "evt2")  # bookmark files are no recordings
+    assert both.events.count() == 2 * len(t) and sorted(r.t for r in both.triggers.collect()) == [50, 50, 900, 900]
+    assert build_index(spark, str(tmp_path), "evt2").select("recording_id").distinct().count() == 2

@@ -43,3 +43,17 @@ def test_pace(spark):
     assert slept == [1.0, 1.0, 0.0, 1.0] and seen == [0, 1, 2, 3, 4]
     with pytest.raises(ValueError):
         stateful.Pace(0)
+
+
+def test_tumbling_both(spark, recordings, tmp_path):
+    marks = [("a", 0, 5, 1, 2), ("b", 1, 3000, 0, 2), ("b", 2, 10**6, 1, 0), ("c", 3, 40, 1, 1), ("c", 4, 700, 1, 1)]
+    spark.createDataFrame(recordings, schema.EVENTS).coalesce(1).write.parquet(str(tmp_path / "ev"))
+    spark.createDataFrame(marks, schema.TRIGGERS).coalesce(1).write.parquet(str(tmp_path / "tr"))
+    read = lambda name, kind: spark.readStream.schema(kind).parquet(str(tmp_path / name))
+    query = stateful.tumbling_both(read("ev", schema.EVENTS), read("tr", schema.TRIGGERS), 500).writeStream.format("memory").queryName("got_both").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = spark.table("got_both").collect()
+    first = {"a": recordings[0][2], "b": recordings[1][2], "c": 40}
+    want = [(*r, None, (r[2] - first[r[0]]) // 500) for r in recordings]
+    want += [(n, s, t, None, None, p, i, max(0, (t - first[n]) // 500)) for n, s, t, p, i in marks]
+    assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
