@@ -70,8 +70,8 @@ def sniff(path: str, data: bytes) -> str:
 
 def _carry(hit: np.ndarray, value: np.ndarray, start: int = 0) -> np.ndarray:
     """At each place the value at the last hit so far, or start."""
-    last = np.maximum.accumulate(np.where(hit, np.arange(len(hit)), -1))
-    return np.where(last >= 0, value[last], start)
+    at = np.flatnonzero(hit)
+    return np.repeat(np.concatenate(([start], value[at])), np.diff(np.concatenate(([0], at, [len(hit)]))))
 
 
 def _clock(value: np.ndarray, hit: np.ndarray, state: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -93,9 +93,9 @@ def _from_first(state: dict, hit: np.ndarray, *columns: np.ndarray):
 
 
 def _spread(mask: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and set bits, ascending."""
-    bits = (mask[:, None] >> np.arange(width, dtype=mask.dtype)) & 1
-    return np.nonzero(bits)
+    """Rows and set bits (of 32 at most), ascending."""
+    bits = np.unpackbits(mask.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=width, bitorder="little")
+    return np.nonzero(bits.view(bool))
 
 
 # Decoders of pieces: a recording may be cut before words that set the high part of the clock (see cuts), and ``state`` is what one

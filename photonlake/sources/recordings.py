@@ -29,7 +29,7 @@ def batch(name: str, seq: int, part, triggers: bool) -> pa.RecordBatch:
     """Rows of the events or triggers of decoded columns, numbered from seq."""
     t, x, y, p, tt, tp, ti = part
     rows = tt if triggers else t
-    columns = [pa.array(np.full(len(rows), name, object), pa.string()), pa.array(np.arange(seq, seq + len(rows)))]
+    columns = [pa.repeat(pa.scalar(name, pa.string()), len(rows)), pa.array(np.arange(seq, seq + len(rows)))]
     if triggers:
         return pa.RecordBatch.from_arrays([*columns, pa.array(tt), pa.array(tp.astype(np.int16)), pa.array(ti.astype(np.int16))], ["recording_id", "seq", "t", "p", "id"])
     return pa.RecordBatch.from_arrays([*columns, pa.array(t.astype(np.int64)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(p.astype(np.int16))], ["recording_id", "seq", "t", "x", "y", "p"])
