@@ -10,11 +10,14 @@ import gzip
 import io
 import lzma
 import warnings
+from collections.abc import Iterator
 
 import numpy as np
 
 from .aedat import aedat3, aedat4, encode4
 
+#: What the names of compressed files end with.
+COMPRESSED = (".gz", ".bz2", ".xz", ".zst")
 _NONE = (np.empty(0, np.int64),) * 3
 
 
@@ -201,6 +204,8 @@ def dat(body: bytes, state: dict | None = None):
 PIECEWISE = {"evt2": (4, 28, 8), "evt21": (8, 28, 8), "evt3": (2, 12, 8), "evt4": (4, 28, 14), "dat": (8, None, None)}
 #: Bytes that are decoded at once.
 PIECE = 4 << 20
+#: Bytes in which a word that sets the clock is looked for at once.
+LOOK = 1 << 16
 
 
 def body_at(fmt: str, data: bytes) -> int:
@@ -215,34 +220,53 @@ def body_at(fmt: str, data: bytes) -> int:
     return at
 
 
-def cuts(fmt: str, data, start: int, size: int = PIECE) -> list[int]:
-    """Offsets of pieces of about ``size`` bytes, and the end."""
+class Words:
+    """Bytes of a recording by their place: of a buffer, or of an open file, which is read as they are asked for."""
+
+    def __init__(self, source):
+        if hasattr(source, "read_at"):
+            self.end, self.take = source.size(), lambda at, n: source.read_at(n, at)
+        else:
+            view = memoryview(source)
+            self.end, self.take = len(view), lambda at, n: view[at : at + n]
+
+    def head(self) -> bytes:
+        """The first bytes, up to some way behind the header."""
+        n = 1 << 16
+        while True:
+            found = bytes(self.take(0, n))
+            if n >= self.end or header(found)[1] < n - 512:
+                return found
+            n *= 2
+
+
+def spans(fmt: str, words: Words, start: int, end: int, size: int = PIECE) -> Iterator[tuple[int, int]]:
+    """Begin and end of pieces of about ``size`` bytes. All but the first begin where a word sets the clock, which is looked for in small steps."""
     wide, shift, kind = PIECEWISE[fmt]
-    found, end = [start], len(data)
     at = start + size // wide * wide
     while at < end:
         if shift is not None:
-            w = np.frombuffer(data, f"<u{wide}", min(size, end - at) // wide, at)
+            room = min(size, LOOK, end - at) // wide * wide
+            w = np.frombuffer(words.take(at, room), f"<u{wide}")
             w = (w & 0xFFFFFFFF if wide == 8 else w) >> shift
             hit = w == kind
             if fmt == "evt4":  # what follows a vector word may be its mask
-                last = np.concatenate((np.frombuffer(data, "<u4", 1, at - 4) >> 28, w[:-1]))
+                last = np.concatenate((np.frombuffer(words.take(at - 4, 4), "<u4") >> 28, w[:-1]))
                 hit &= (last != 12) & (last != 13)
             if not hit.any():
                 at += max(len(w), 1) * wide
                 continue
             at += int(np.argmax(hit)) * wide
-        found.append(at)
-        at += size // wide * wide
-    return [*found, end]
+        yield start, at
+        start, at = at, at + size // wide * wide
+    yield start, end
 
 
 def pieces(fmt: str, data, size: int = PIECE, **options):
-    """The columns of a recording piece by piece, in memory that a piece bounds."""
-    state: dict = {}
-    at = cuts(fmt, data, body_at(fmt, data), size)
-    for a, z in zip(at, at[1:]):
-        yield globals()[fmt](bytes(data[a:z]), state, **options)
+    """The columns of a recording (bytes or an open file) piece by piece, in memory that a piece bounds."""
+    words, state = Words(data), {}
+    for a, z in spans(fmt, words, body_at(fmt, words.head()), words.end, size):
+        yield globals()[fmt](bytes(words.take(a, z - a)), state, **options)
 
 
 def aer(body: bytes, t_start: int = 0, t_step: int = 0, timestamps=None):

@@ -72,13 +72,12 @@ class _Reader(DataSourceReader):
             yield from splits.decoded([partition.row], self.triggers, **self.codec)
             return
         store, at = splits.store_of(partition.name)
-        with store.open_input_stream(at, compression=None) as source:
-            data = source.read()
-        seq = 0
-        for part in recordings.parts(partition.name, data, self.options.get("fmt"), **self.codec):
-            whole = recordings.batch(partition.name, seq, part, self.triggers)
-            seq += whole.num_rows
-            yield whole
+        with store.open_input_file(at) as source:
+            seq = 0
+            for part in recordings.parts(partition.name, source, self.options.get("fmt"), **self.codec):
+                whole = recordings.batch(partition.name, seq, part, self.triggers)
+                seq += whole.num_rows
+                yield whole
 
 
 def register(spark) -> None:

@@ -18,11 +18,13 @@ from ..plans.dims import FEW
 from . import codecs, splits
 
 
-def parts(name: str, data: bytes, fmt: str | None, **options):
-    """Columns of a recording, piece by piece where the format allows it."""
-    plain, data = codecs.decompress(name, data)
-    fmt = fmt or codecs.sniff(plain, data)
-    return codecs.pieces(fmt, data, **options) if fmt in codecs.PIECEWISE else [codecs.decode(plain, data, fmt, **options)]
+def parts(name: str, source, fmt: str | None, **options):
+    """Columns of a recording (bytes or an open file), piece by piece where the format allows it; compressed ones and other formats are in memory whole."""
+    if name.endswith(codecs.COMPRESSED):
+        name, source = codecs.decompress(name, source if isinstance(source, bytes) else source.read())
+    words = codecs.Words(source)
+    fmt = fmt or codecs.sniff(name, words.head())
+    return codecs.pieces(fmt, source, **options) if fmt in codecs.PIECEWISE else [codecs.decode(name, bytes(words.take(0, words.end)), fmt, **options)]
 
 
 def batch(name: str, seq: int, part, triggers: bool) -> pa.RecordBatch:
@@ -35,9 +37,7 @@ def batch(name: str, seq: int, part, triggers: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(t.astype(np.int64)), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(p.astype(np.int16))], ["recording_id", "seq", "t", "x", "y", "p"])
 
 
-def _read(spark: SparkSession, path: str, fmt: str | None, triggers: bool, options: dict) -> DataFrame:
-    files = splits.recordings_in(spark, path).select("_metadata.file_path", "content")
-
+def _read(files: DataFrame, fmt: str | None, triggers: bool, options: dict) -> DataFrame:
     def of(batches):
         for b in batches:
             for name, data in zip(b.column(0).to_pylist(), b.column(1)):
@@ -48,16 +48,26 @@ def _read(spark: SparkSession, path: str, fmt: str | None, triggers: bool, optio
                     for k in range(0, whole.num_rows, 1 << 18):
                         yield whole.slice(k, 1 << 18)
 
-    return files.mapInArrow(of, schema.TRIGGERS if triggers else schema.EVENTS)
+    return files.select("_metadata.file_path", "content").mapInArrow(of, schema.TRIGGERS if triggers else schema.EVENTS)
 
 
 def read_events(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
     """Events of all files under a path (evt2, evt21, evt3, evt4, dat, aer, aedat1 to aedat4, csv, npz, hdf5; .gz .bz2 .xz .zst around them). recording_id is the file."""
-    return _read(spark, path, fmt, False, options)
+    return _read(splits.recordings_in(spark, path), fmt, False, options)
 
 
 def read_triggers(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
-    return _read(spark, path, fmt, True, options)
+    return _read(splits.recordings_in(spark, path), fmt, True, options)
+
+
+def stream_events(spark: SparkSession, path: str, fmt: str | None = None, triggers: bool = False, max_files: int = 64, **options) -> DataFrame:
+    """Events, or triggers, of the files of a folder as a stream: each file once, those that appear later too, at most max_files in a micro-batch.
+
+    What was read is in the query's checkpoint. Files must appear whole, as those of write_events do; bookmark files and
+    names that start with a dot or an underscore are left out. A micro-batch takes the oldest files; a recording is in one of them, in order.
+    """
+    files = spark.readStream.format("binaryFile").schema(splits.FILES).option("maxFilesPerTrigger", max_files).load(path)
+    return _read(files.where(splits.no_bookmarks()), fmt, triggers, options)
 
 
 class Batch(NamedTuple):
@@ -140,7 +150,7 @@ def write_events(events: DataFrame, folder: str, fmt: str, compression: str = ""
                 end, data = codecs.compress(compression, content.as_py())
                 short = re.sub(r"[^A-Za-z0-9._-]", "_", name.rsplit("/", 1)[-1])
                 path = f"{base}/{short}-{zlib.crc32(name.encode()):08x}.{suffix}{end}"
-                part = f"{path}.{uuid.uuid4().hex}.part"
+                part = f"{base}/.{uuid.uuid4().hex}.part"  # no reader lists it
                 with store.open_output_stream(part, compression=None) as out:
                     out.write(data)
                 store.move(part, path)

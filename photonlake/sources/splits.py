@@ -11,7 +11,7 @@ import os
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -21,6 +21,7 @@ from . import codecs
 SPLIT = 64 << 20
 #: What the names of bookmark files end with.
 SIDECAR = ".tmp_index"
+FILES = "path string, modificationTime timestamp, length long, content binary"
 BOOKMARKS = "recording_id string, ts long, first long, seq long"
 INDEX = "recording_id string, fmt string, split int, first long, last long, seq long, trigger_seq long, t_min long, t_max long, state string"
 
@@ -34,9 +35,13 @@ def store_of(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
+def no_bookmarks() -> Column:
+    return ~F.col("path").endswith(SIDECAR)
+
+
 def recordings_in(spark: SparkSession, path: str) -> DataFrame:
     """The files under a path as binaryFile gives them, without bookmark files."""
-    return spark.read.format("binaryFile").load(path).where(~F.col("path").endswith(SIDECAR))
+    return spark.read.format("binaryFile").load(path).where(no_bookmarks())
 
 
 def bookmarks(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,17 +85,15 @@ def bookmark_at(marks: DataFrame, t: int) -> DataFrame:
     return marks.groupBy("recording_id").agg(F.max_by(F.struct("ts", "first", "seq"), near).alias("m")).select("recording_id", "m.*")
 
 
-def entries(name: str, data, fmt: str, size: int = SPLIT, **options):
-    """Index rows of a recording: byte range, rows before it, its least and greatest time (null without rows), and the decoder's state before it."""
-    state: dict = {}
-    seq = trigger_seq = 0
-    at = codecs.cuts(fmt, data, codecs.body_at(fmt, data), size)
-    for k, (a, z) in enumerate(zip(at, at[1:])):
+def entries(name: str, source, fmt: str, size: int = SPLIT, **options):
+    """Index rows of a recording (bytes or an open file, of which a piece is in memory): byte range, rows before it, its least and
+    greatest time (null without rows), and the decoder's state before it."""
+    words, state, seq, trigger_seq = codecs.Words(source), {}, 0, 0
+    for k, (a, z) in enumerate(codecs.spans(fmt, words, codecs.body_at(fmt, words.head()), words.end, size)):
         before = json.dumps(state)
         n, m, low, high = 0, 0, None, None
-        inner = codecs.cuts(fmt, memoryview(data)[:z], a, codecs.PIECE)
-        for x, y in zip(inner, inner[1:]):
-            part = getattr(codecs, fmt)(bytes(data[x:y]), state, **options)
+        for x, y in codecs.spans(fmt, words, a, z):
+            part = getattr(codecs, fmt)(bytes(words.take(x, y - x)), state, **options)
             n, m = n + len(part[0]), m + len(part[4])
             times = np.concatenate((part[0], part[4]))
             if len(times):
@@ -100,20 +103,19 @@ def entries(name: str, data, fmt: str, size: int = SPLIT, **options):
 
 
 def build_index(spark: SparkSession, path: str, fmt: str | None = None, size: int = SPLIT) -> DataFrame:
-    """Index of all uncompressed EVT and DAT recordings under a path, a task for each; write it as Parquet beside them. Others have no rows."""
+    """Index of all uncompressed EVT and DAT recordings under a path, a task for each, which holds a piece of it in memory; write it as Parquet beside them. Others have no rows."""
 
     def of(batches):
         for b in batches:
             rows = []
             for (name,) in zip(b.column(0).to_pylist()):
                 store, at = store_of(name)
-                if name.endswith((".gz", ".bz2", ".xz", ".zst")):
+                if name.endswith(codecs.COMPRESSED):
                     continue
                 with store.open_input_file(at) as source:
-                    data = source.read()
-                kind = fmt or codecs.sniff(name, data)
-                if kind in codecs.PIECEWISE:
-                    rows += entries(name, data, kind, size)
+                    kind = fmt or codecs.sniff(name, codecs.Words(source).head())
+                    if kind in codecs.PIECEWISE:
+                        rows += entries(name, source, kind, size)
             columns = list(zip(*rows)) if rows else [[]] * 10
             kinds = [pa.string(), pa.string(), pa.int32(), *[pa.int64()] * 6, pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [f.split()[0] for f in INDEX.split(", ")])
@@ -130,13 +132,11 @@ def decoded(rows, triggers: bool, **options):
         store, at = store_of(name)
         now, n = json.loads(state), trigger_seq if triggers else seq
         with store.open_input_file(at) as source:
-            source.seek(first)
-            data = source.read_buffer(last - first)
-        inner = codecs.cuts(fmt, data, 0)
-        for a, z in zip(inner, inner[1:]):
-            part = batch(name, n, getattr(codecs, fmt)(bytes(data[a:z]), now, **options), triggers)
-            n += part.num_rows
-            yield part
+            words = codecs.Words(source)
+            for a, z in codecs.spans(fmt, words, first, last):
+                part = batch(name, n, getattr(codecs, fmt)(bytes(words.take(a, z - a)), now, **options), triggers)
+                n += part.num_rows
+                yield part
 
 
 def read_indexed(index: DataFrame, triggers: bool = False, since: int | None = None, until: int | None = None, **options) -> DataFrame:

@@ -268,6 +268,39 @@ def test_splits(spark, tmp_path, fmt):
     assert len(list(reader.pushFilters([GreaterThanOrEqual(("t",), a), LessThan(("t",), z)]))) == 2 and 0 < len(reader.partitions()) < every / 2
 
 
+@pytest.mark.parametrize("fmt", ["evt2", "evt21", "evt3", "evt4", "dat"])
+def test_open_files(tmp_path, monkeypatch, fmt):
+    """An open file is decoded and indexed in pieces; no read is larger than a piece and some way to the next clock word."""
+    import pyarrow as pa
+
+    from photonlake.sources import recordings, splits
+
+    columns = events(20_000, side=300, span=2**26)
+    data = codecs.encode(fmt, *columns)
+    (tmp_path / "a").write_bytes(data)
+    monkeypatch.setattr(codecs, "LOOK", 256)
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.size, self.most = file, file.size, 0
+
+        def read_at(self, n, at):
+            got = self.file.read_at(n, at)
+            self.most = max(self.most, len(got) if at else 0)
+            return got
+
+    with pa.OSFile(str(tmp_path / "a")) as file:
+        source = Counted(file)
+        got = [np.concatenate(c) for c in zip(*(p[:4] for p in codecs.pieces(fmt, source, 4096)))]
+        assert source.most < len(data) / 3
+        assert all((a == b).all() for a, b in zip(got, columns))
+        assert list(splits.entries("a", source, fmt, 4096)) == list(splits.entries("a", data, fmt, 4096))
+        whole = [np.concatenate(c) for c in zip(*(p[:4] for p in recordings.parts("a." + fmt, file, None)))]
+        assert all((a == b).all() for a, b in zip(whole, columns))
+    long = b"% note " + b"x" * 200_000 + b"\n" + data
+    assert sum(len(p[0]) for p in codecs.pieces(fmt, long)) == len(columns[0])
+
+
 def test_windows_of_readers(spark):
     from photonlake import schema
     from photonlake.operators import access, windows

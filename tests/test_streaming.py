@@ -57,3 +57,29 @@ def test_tumbling_both(spark, recordings, tmp_path):
     want = [(*r, None, (r[2] - first[r[0]]) // 500) for r in recordings]
     want += [(n, s, t, None, None, p, i, max(0, (t - first[n]) // 500)) for n, s, t, p, i in marks]
     assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
+def test_stream_of_files(spark, tmp_path):
+    """Each file of a folder once, those that come later too; unfinished and bookmark files are not read."""
+    from photonlake.sources.recordings import read_events, stream_events, write_events
+
+    r = np.random.default_rng(3)
+    folder = str(tmp_path / "in")
+
+    def put(*names):
+        rows = [(n, i, int(t), int(r.integers(0, 60)), 5, i % 2) for n in names for i, t in enumerate(np.sort(r.integers(0, 10**6, 200)))]
+        marks = [(n, 0, 70, 1, 3) for n in names]
+        write_events(spark.createDataFrame(rows, schema.EVENTS), folder, "evt3", "gz", triggers=spark.createDataFrame(marks, schema.TRIGGERS))
+
+    def run(name, **options):
+        query = stream_events(spark, folder, max_files=2, **options).writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        query.awaitTermination(120)
+        return spark.read.parquet(str(tmp_path / name)).collect()
+
+    put("a", "b", "c")
+    (tmp_path / "in/x.evt3.tmp_index").write_bytes(b"none")
+    (tmp_path / "in/.y.part").write_bytes(b"none")
+    assert sorted(run("ev")) == sorted(read_events(spark, folder).collect()) and len(run("ev")) == 600
+    put("d")
+    assert sorted(run("ev")) == sorted(read_events(spark, folder).collect()) and len(run("ev")) == 800
+    assert [(x.t, x.p, x.id) for x in run("tr", triggers=True)] == [(70, 1, 3)] * 4
