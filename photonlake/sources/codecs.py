@@ -335,19 +335,73 @@ def npz(data: bytes):
     return *[np.asarray(e[c]).astype(np.int64) for c in "txyp"], *_NONE
 
 
-def hdf5_columns(tree):
-    """Columns of a tree of arrays: ``events/t`` and so on, or a compound table ``CD/events`` or ``events``; ``t_offset`` is added to t, p is 0 or 1."""
-    at = tree["CD"]["events"] if "CD" in tree else tree["events"]
-    t, x, y, p = (np.asarray(at[c][:]).astype(np.int64) for c in "txyp")
-    return t + (int(np.asarray(tree["t_offset"]).item()) if "t_offset" in tree else 0), x, y, np.clip(p, 0, 1), *_NONE
+def _events_of(tree):
+    if "events" in tree:
+        return tree["events"]
+    if "CD" in tree and "events" in tree["CD"]:
+        return tree["CD"]["events"]
+    raise ValueError("neither events nor CD/events")
+
+
+def hdf5_columns(tree, first: int = 0, last: int | None = None):
+    """Columns of rows first to last of a tree of arrays: ``events/t`` and so on, or a compound table ``events`` or ``CD/events``, whose p
+    is brought to 0 or 1; ``t_offset`` is added to t."""
+    at = _events_of(tree)
+    table = hasattr(at, "dtype")
+    rows = at[first:last] if table else {c: at[c][first:last] for c in "txyp"}
+    t, x, y, p = (np.asarray(rows[c]).astype(np.int64) for c in "txyp")
+    return t + (int(np.asarray(tree["t_offset"]).item()) if "t_offset" in tree else 0), x, y, np.clip(p, 0, 1) if table else p, *_NONE
+
+
+def ms_index(t: np.ndarray) -> np.ndarray:
+    """For each millisecond from that of the first time on to that of the last, the place of the first row that is not before it; then the number of rows. Times are in order."""
+    if not len(t):
+        return np.zeros(1, np.int64)
+    return np.append(np.searchsorted(t, np.arange(t[0] // 1000, t[-1] // 1000 + 1) * 1000), len(t))
+
+
+def ms_rows(tree, start_ms: int = 0, end_ms: int = -1) -> tuple[int, int]:
+    """First and last row of [start_ms, end_ms) by a tree's ``ms_to_idx``; -1 is the end."""
+    if "ms_to_idx" not in tree:
+        raise ValueError("no millisecond index")
+    if start_ms < 0 or 0 <= end_ms < start_ms:
+        raise ValueError("bad range")
+    index = np.asarray(tree["ms_to_idx"]).astype(np.int64)
+    base, end = int(np.asarray(tree["ms_to_idx_offset"]).item()) if "ms_to_idx_offset" in tree else 0, len(index) - 1
+    place = lambda ms: int(index[min(max(ms - base, 0), end)])
+    return place(start_ms), place(end_ms) if end_ms >= 0 else int(index[end])
+
+
+def hdf5_pieces(source, start_ms: int | None = None, end_ms: int = -1, rows: int = 1 << 20):
+    """Columns of an HDF5 recording (bytes or an open file) piece by piece; of a range of milliseconds if one is given, by the file's index. Needs the h5py package."""
+    import h5py
+
+    with h5py.File(io.BytesIO(source) if isinstance(source, bytes) else source, "r") as tree:
+        at = _events_of(tree)
+        a, z = (0, len(at if hasattr(at, "dtype") else at["t"])) if start_ms is None and end_ms == -1 else ms_rows(tree, start_ms or 0, end_ms)
+        for k in range(a, max(z, a + 1), rows):
+            yield hdf5_columns(tree, k, min(z, k + rows))
 
 
-def hdf5(data: bytes):
+def hdf5(data: bytes, **options):
     """Needs the h5py package."""
+    return tuple(np.concatenate(c) for c in zip(*hdf5_pieces(data, **options)))
+
+
+def _hdf5_bytes(t, x, y, p, width: int, height: int) -> bytes:
+    """Columns under ``events``, and the millisecond index, which starts at ``ms_to_idx_offset`` where that is not 0. Needs the h5py package."""
     import h5py
 
-    with h5py.File(io.BytesIO(data), "r") as tree:
-        return hdf5_columns(tree)
+    out = io.BytesIO()
+    with h5py.File(out, "w") as tree:
+        tree.attrs["width"], tree.attrs["height"] = width, height
+        group = tree.create_group("events")
+        for name, column, kind in (("t", t, "int64"), ("x", x, "uint16"), ("y", y, "uint16"), ("p", p, "uint8")):
+            group.create_dataset(name, data=column.astype(kind), maxshape=(None,), chunks=(10_000,), compression="gzip", shuffle=True)
+        tree.create_dataset("ms_to_idx", data=ms_index(t).astype(np.uint64), compression="gzip", shuffle=True)
+        if len(t) and t[0] >= 1000:
+            tree.create_dataset("ms_to_idx_offset", data=np.int64(t[0] // 1000))
+    return out.getvalue()
 
 
 #: Decoders of other formats, from bytes to the seven columns; a suffix of that name finds them.
@@ -417,6 +471,8 @@ def encode(fmt: str, t, x, y, p, width: int = 1280, height: int = 720, triggers=
         out = io.BytesIO()
         (np.savez_compressed if compressed else np.savez)(out, t=t, x=x.astype(np.uint16), y=y.astype(np.uint16), p=p.astype(np.uint8), width=width, height=height)
         return out.getvalue()
+    if fmt == "hdf5":
+        return _hdf5_bytes(t, x, y, p, width, height)
     if fmt == "aedat4":
         return encode4(t, x, y, p, width, height, None if triggers is None else triggers[:2], compression)
     if fmt == "aer":

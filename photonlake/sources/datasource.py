@@ -1,7 +1,7 @@
 """``spark.read.format("event_recordings")``: recordings as a data source, with time filters that prune splits.
 
 Call register(spark) once. Options: fmt (else by suffix or content), triggers (true for those),
-index (a Parquet folder that build_index gave, for splits), and strict, layout, delimiter, t_start, t_step for the codecs.
+index (a Parquet folder that build_index gave, for splits), and strict, layout, delimiter, t_start, t_step, start_ms, end_ms for the codecs.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from .. import schema
 from . import recordings, splits
 
-CODEC = {"strict": lambda v: v.lower() == "true", "layout": str, "delimiter": str, "t_start": int, "t_step": int}
+CODEC = {"strict": lambda v: v.lower() == "true", "layout": str, "delimiter": str, "t_start": int, "t_step": int, "start_ms": int, "end_ms": int}
 
 
 class Part(InputPartition):

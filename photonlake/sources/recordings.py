@@ -24,7 +24,11 @@ def parts(name: str, source, fmt: str | None, **options):
         name, source = codecs.decompress(name, source if isinstance(source, bytes) else source.read())
     words = codecs.Words(source)
     fmt = fmt or codecs.sniff(name, words.head())
-    return codecs.pieces(fmt, source, **options) if fmt in codecs.PIECEWISE else [codecs.decode(name, bytes(words.take(0, words.end)), fmt, **options)]
+    if fmt in codecs.PIECEWISE:
+        return codecs.pieces(fmt, source, **options)
+    if fmt == "hdf5" and fmt not in codecs.EXTRA:
+        return codecs.hdf5_pieces(source, **options)
+    return [codecs.decode(name, bytes(words.take(0, words.end)), fmt, **options)]
 
 
 def batch(name: str, seq: int, part, triggers: bool) -> pa.RecordBatch:
@@ -52,7 +56,10 @@ def _read(files: DataFrame, fmt: str | None, triggers: bool, options: dict) -> D
 
 
 def read_events(spark: SparkSession, path: str, fmt: str | None = None, **options) -> DataFrame:
-    """Events of all files under a path (evt2, evt21, evt3, evt4, dat, aer, aedat1 to aedat4, csv, npz, hdf5; .gz .bz2 .xz .zst around them). recording_id is the file."""
+    """Events of all files under a path (evt2, evt21, evt3, evt4, dat, aer, aedat1 to aedat4, csv, npz, hdf5; .gz .bz2 .xz .zst around them). recording_id is the file.
+
+    For HDF5 start_ms and end_ms read [start_ms, end_ms) by the file's millisecond index; seq then counts the rows that were read.
+    """
     return _read(splits.recordings_in(spark, path), fmt, False, options)
 
 

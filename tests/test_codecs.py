@@ -1,3 +1,7 @@
+import pickle
+import sys
+import types
+
 import numpy as np
 import pytest
 
@@ -108,7 +112,54 @@ def test_hdf5_trees():
     table = np.array([(1, 2, 1, 10), (3, 4, -1, 20)], [("x", "u2"), ("y", "u2"), ("p", "i2"), ("t", "i8")])
     for tree in ({"CD": {"events": table}}, {"events": table}, {"events": {c: table[c] for c in "txyp"}}):
         got = codecs.hdf5_columns(tree | {"t_offset": np.array(5)})
-        assert [c.tolist() for c in got[:4]] == [[15, 25], [1, 3], [2, 4], [1, 0]]
+        assert [c.tolist() for c in got[:4]] == [[15, 25], [1, 3], [2, 4], [1, 0 if "CD" in tree or isinstance(tree["events"], np.ndarray) else -1]]
+    with pytest.raises(ValueError):
+        codecs.hdf5_columns({"other": 1})
+
+
+class Tree(dict):
+    """Stands in for an HDF5 file, as that package may be absent: what is created is kept, and pickled when the file is closed."""
+
+    def __init__(self, file, mode):
+        super().__init__(pickle.load(file) if mode == "r" else {})
+        self.file, self.mode, self.attrs = file, mode, {}
+
+    def create_group(self, name):
+        self[name] = group = Tree(None, "g")
+        return group
+
+    def create_dataset(self, name, data, **kw):
+        self[name] = np.asarray(data)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        if self.mode == "w":
+            pickle.dump({k: dict(v) if isinstance(v, Tree) else v for k, v in self.items()}, self.file)
+
+
+@pytest.mark.parametrize("start", [0, 5_000_300])
+def test_hdf5_index(monkeypatch, start):
+    monkeypatch.setitem(sys.modules, "h5py", types.SimpleNamespace(File=Tree))
+    t, x, y, p = events(3000, span=40_000)
+    t = t + start
+    data = codecs.encode("hdf5", t, x, y, p)
+    assert all((a == b).all() for a, b in zip(codecs.decode("a.h5", data), (t, x, y, p)))
+    many = list(codecs.hdf5_pieces(data, rows=700))
+    assert len(many) == 5 and (np.concatenate([m[0] for m in many]) == t).all()
+    index, base = codecs.ms_index(t), int(t[0]) // 1000
+    assert index.tolist() == [int((t < (base + k) * 1000).sum()) for k in range(int(t[-1]) // 1000 - base + 1)] + [len(t)]
+    for a, z in ((0, -1), (base + 3, base + 9), (base + 3, -1), (0, base + 2), (0, 0), (base + 7, base + 7), (base + 10**6, -1), (base, base + 10**6)):
+        want = t[(t >= a * 1000) & ((t < z * 1000) | (z == -1))]
+        assert codecs.hdf5(data, start_ms=a, end_ms=z)[0].tolist() == want.tolist()
+    for bad in ({"start_ms": -1}, {"start_ms": 5, "end_ms": 4}):
+        with pytest.raises(ValueError):
+            codecs.hdf5(data, **bad)
+    with pytest.raises(ValueError):
+        codecs.ms_rows({"events": {}})
+    none = codecs.encode("hdf5", *(np.empty(0, np.int64),) * 4)
+    assert codecs.ms_index(np.empty(0, np.int64)).tolist() == [0] and not len(codecs.decode("a.h5", none)[0])
 
 
 def test_csv_in_splits(spark, tmp_path):
