@@ -14,7 +14,10 @@ from .scratch import staged
 
 FANOUT = 16
 RANGE = 1 << 16
-RECORDS_A_FILE = 4096
+#: A band of page ids is dealt to FILES files of about RECORDS_A_FILE records.
+RECORDS_A_FILE, FILES = 4096, 256
+#: Equal records that one task places at once.
+COPIES = 4096
 
 
 def header(url: Column, date: Column, length: Column) -> Column:
@@ -25,14 +28,22 @@ def header(url: Column, date: Column, length: Column) -> Column:
 def layout(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """file, record, offset, length, digest of the record of every row of pages (page_id, url, html).
 
-    A file holds RECORDS_A_FILE consecutive page ids in order; rows without page_id are dealt by url to 256 files, -1 to -256. Null url and html count
-    as empty. Digests are made before rows move. Repeated rows are records of their own, ordered by digest.
+    Each RECORDS_A_FILE * FILES consecutive page ids are dealt to FILES files by their header blocks, that is by url and length, so rows that
+    share a page_id are in many; those without page_id go to files -1 to -FILES in the same way. A file is in order of page_id, then digest.
+    Null url and html count as empty. Digests are made before rows move. Repeated rows are records of their own; they are counted
+    before they move, and placed one after the other.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     head = header(F.coalesce(F.col("url").cast("string"), F.lit("")), F.lit(date), F.octet_length(html))
-    rows = pages.select(F.expr(f"coalesce(cast(floor(page_id / {RECORDS_A_FILE}.0D) as long), -1 - cast(conv(left(md5(coalesce(cast(url as string), '')), 2), 16, 10) as long))").alias("file"), F.col("page_id").alias("record"), (F.octet_length(head) + F.octet_length(html) + 4).cast("long").alias("length"), F.sha2(F.concat(head, html), 256).alias("digest"))
+    deal = F.conv(F.left(F.md5(head), F.lit(2)), 16, 10).cast("long") % FILES
+    file = F.coalesce(F.floor(F.col("page_id") / float(RECORDS_A_FILE * FILES)).cast("long") * FILES + deal, -1 - deal)
+    rows = pages.select(file.alias("file"), F.col("page_id").alias("record"), (F.octet_length(head) + F.octet_length(html) + 4).cast("long").alias("length"), F.sha2(F.concat(head, html), 256).alias("digest"))
     line = Window.partitionBy("file").orderBy("record", "digest").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("offset", F.coalesce(F.sum("length").over(line), F.lit(0)).cast("long")).select("file", "record", "offset", "length", "digest")
+    placed = rows.groupBy("file", "record", "length", "digest").agg(F.count("*").alias("n")).withColumn("at", F.coalesce(F.sum(F.col("length") * F.col("n")).over(line), F.lit(0)))
+    few = placed.where(F.col("n") <= COPIES).withColumn("copy", F.explode(F.expr("sequence(0L, n - 1)")))
+    blocks = placed.where(F.col("n") > COPIES).withColumn("block", F.explode(F.expr(f"sequence(0L, (n - 1) div {COPIES})"))).repartition("file", "record", "digest", "block")
+    many = blocks.withColumn("copy", F.explode(F.expr(f"sequence(block * {COPIES}, least(n, (block + 1) * {COPIES}) - 1)"))).drop("block")
+    return few.unionByName(many).select("file", "record", (F.col("at") + F.col("copy") * F.col("length")).cast("long").alias("offset"), "length", "digest")
 
 
 def leaves(records: DataFrame, size: int = RANGE) -> DataFrame:
@@ -113,7 +124,7 @@ v AS (
   UNION ALL SELECT page_id, crc, 1, url, CASE WHEN crc = 0 AND ends_with(html, '>') THEN left(html, length(html) - 1) || '#' ELSE html END FROM c),
 h AS (
   SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) AS head FROM v),
-r AS (SELECT side, crc, coalesce(CAST(floor(page_id / 4096.0) AS BIGINT), -1 - CAST('0x' || left(md5(url), 2) AS BIGINT)) AS file, page_id AS record, strlen(head) + strlen(html) + 4 AS length, sha256(head || html) AS digest FROM h),
+r AS (SELECT side, crc, coalesce(CAST(floor(page_id / 1048576.0) AS BIGINT) * 256 + CAST('0x' || left(md5(head), 2) AS BIGINT), -1 - CAST('0x' || left(md5(head), 2) AS BIGINT)) AS file, page_id AS record, strlen(head) + strlen(html) + 4 AS length, sha256(head || html) AS digest FROM h),
 o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY side, file ORDER BY record, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r),
 a AS (SELECT * FROM o WHERE side = 0),
 b AS (SELECT * FROM o WHERE side = 1 AND crc <> 1)

@@ -279,6 +279,24 @@ def test_awkward_records(spark):
     assert sorted((x.record, x.status) for x in warc.audit(whole, other).collect()) == [(6, "missing"), (7, "altered")]
 
 
+def test_one_page_id_and_one_record_may_be_most_of_all(spark, monkeypatch):
+    rows = [(9, f"u{i}", "<p>x</p>") for i in range(600)] + [(9, "u", "same")] * 50 + [(None, None, None)] * 30 + [(i * 5000, "v", "y" * (i % 7)) for i in range(-300, 300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(warc.layout(pages).collect(), key=repr)
+    monkeypatch.setattr(warc, "COPIES", 4)
+    assert sorted(warc.layout(pages).collect(), key=repr) == want and len(want) == len(rows)
+    files: dict = {}
+    for x in want:
+        files.setdefault(x.file, []).append(x)
+    for of in files.values():  # end to end, in order of page_id, then digest
+        of.sort(key=lambda x: x.offset)
+        assert [x.offset for x in of] == [sum(y.length for y in of[:i]) for i in range(len(of))]
+        assert of == sorted(of, key=lambda x: (x.record is not None, x.record or 0, x.digest, x.offset))
+    hot = [sum(x.record == 9 for x in of) for of in files.values()]
+    assert max(hot) < 70 and [len(of) for f, of in files.items() if f < 0] == [30]
+    assert sorted(len({x.offset for x in of}) for of in files.values()) == sorted(map(len, files.values()))
+
+
 def test_one_source_and_one_row_may_be_most_of_all(spark):
     rows = [(1, "w " * 40, "a")] * 300 + [(i, "w " * (i % 9), "a") for i in range(300)] + [(i, "", None) for i in range(50)] + [(i, "one two", "b") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
