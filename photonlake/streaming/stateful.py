@@ -52,13 +52,18 @@ def tumbling(stream: DataFrame, delta_t: int) -> DataFrame:
     return stream.groupBy("recording_id").applyInPandasWithState(of, schema, "t0 long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _together(stream: DataFrame, triggers: DataFrame) -> DataFrame:
+    """Events, whose id is null, and triggers, whose x and y are null."""
+    none = F.lit(None)
+    rows = stream.select("recording_id", "seq", "t", "x", "y", "p", none.cast("short").alias("id"))
+    return rows.unionByName(triggers.select("recording_id", "seq", "t", none.cast("int").alias("x"), none.cast("int").alias("y"), "p", "id"))
+
+
 def tumbling_both(stream: DataFrame, triggers: DataFrame, delta_t: int) -> DataFrame:
     """Events (id is null) and triggers (x and y are null) with the window_id that they share. The anchor is the first event of the first
     micro-batch with rows of the recording, or its first trigger if that has no events; what is earlier is in window 0."""
     positive("delta_t", delta_t)
-    none = F.lit(None)
-    rows = stream.select("recording_id", "seq", "t", "x", "y", "p", none.cast("short").alias("id"))
-    rows = rows.unionByName(triggers.select("recording_id", "seq", "t", none.cast("int").alias("x"), none.cast("int").alias("y"), "p", "id"))
+    rows = _together(stream, triggers)
     schema = ", ".join(f"{n} {k}" for n, k in rows.dtypes) + ", window_id long"
 
     def of(key, parts, state):
@@ -103,6 +108,52 @@ def mixed(stream: DataFrame, delta_t: int, n_events: int) -> DataFrame:
     return stream.groupBy("recording_id").applyInPandasWithState(of, schema, "start long, size long, k long", "append", GroupStateTimeout.NoTimeout)
 
 
+def _riding(stream: DataFrame, triggers: DataFrame, kept: str, cut) -> DataFrame:
+    """Events and triggers with window_id; a trigger has the last window whose first event is not after it, of those up to its
+    micro-batch, or window 0. cut(t, state or None) gives the windows of the next events, the window that was open before them (0 if none), and the new state."""
+    rows = _together(stream, triggers)
+    schema = ", ".join(f"{n} {k}" for n, k in rows.dtypes) + ", window_id long"
+
+    def of(key, parts, state):
+        pdf = pd.concat(list(parts)).sort_values("seq", kind="stable")
+        event = pdf["id"].isna().to_numpy()
+        t, ids = pdf["t"].to_numpy(), np.zeros(len(pdf), np.int64)
+        found, before, now = cut(t[event], state.get if state.exists else None)
+        if now is not None:
+            state.update(now)
+        new = np.flatnonzero(np.diff(found, prepend=before))  # window 0, and one that is open, need no start
+        at = np.searchsorted(np.maximum.accumulate(t[event][new]), t[~event], "right")
+        ids[event], ids[~event] = found, np.concatenate(([before], found[new]))[at]
+        whole = {c: pdf[c].astype("Int64") for c in ("x", "y", "id")}
+        yield pdf.assign(**whole, window_id=ids)
+
+    return rows.groupBy("recording_id").applyInPandasWithState(of, schema, kept, "append", GroupStateTimeout.NoTimeout)
+
+
+def by_count_both(stream: DataFrame, triggers: DataFrame, n_events: int) -> DataFrame:
+    """Events (id is null) and triggers (x and y are null) with count windows, for recordings in time order whose triggers come with the events of their time."""
+    positive("n_events", n_events)
+
+    def cut(t, state):
+        seen = state[0] if state else 0
+        return (seen + np.arange(len(t))) // n_events, max(seen - 1, 0) // n_events, (seen + len(t),)
+
+    return _riding(stream, triggers, "seen long", cut)
+
+
+def mixed_both(stream: DataFrame, triggers: DataFrame, delta_t: int, n_events: int) -> DataFrame:
+    """As by_count_both, with mixed windows."""
+    positive("delta_t", delta_t), positive("n_events", n_events)
+
+    def cut(t, state):
+        now = MixedState(delta_t, n_events, *(state or ()))
+        before = now.k
+        found = now.take(t)
+        return found, before, None if now.start is None else (int(now.start), int(now.size), int(now.k))
+
+    return _riding(stream, triggers, "start long, size long, k long", cut)
+
+
 class Pace:
     """How long to wait before rows are handed on, so that their times pass at ``speed`` times real time from the first ones on.
 

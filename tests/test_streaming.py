@@ -83,3 +83,22 @@ def test_stream_of_files(spark, tmp_path):
     put("d")
     assert sorted(run("ev")) == sorted(read_events(spark, folder).collect()) and len(run("ev")) == 800
     assert [(x.t, x.p, x.id) for x in run("tr", triggers=True)] == [(70, 1, 3)] * 4
+
+
+@pytest.mark.parametrize("name", ["by_count", "mixed"])
+def test_triggers_ride_along(spark, recordings, tmp_path, name):
+    asked = {"by_count": (40,), "mixed": (500, 7)}[name]
+    marks = [(n, i, t, i % 2, 1) for n in "ab" for i, t in enumerate([0, 700, 1500, recordings[150][2], 3999, 21_000, 23_000, 90_000])]
+    ends = [recordings[99][2], recordings[199][2], 10**6]
+    for k in range(3):  # triggers come with the events of their time
+        now = [m for m in marks if m[2] <= ends[k] and (not k or m[2] > ends[k - 1])]
+        spark.createDataFrame(recordings[k * 100 : k * 100 + 100], schema.EVENTS).coalesce(1).write.parquet(str(tmp_path / f"ev/{k}"))
+        spark.createDataFrame(now, schema.TRIGGERS).coalesce(1).write.parquet(str(tmp_path / f"tr/{k}"))
+    read = lambda folder, kind: spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / f"{folder}/*"))
+    both = getattr(stateful, f"{name}_both")(read("ev", schema.EVENTS), read("tr", schema.TRIGGERS), *asked)
+    both.writeStream.format("memory").queryName(f"rode_{name}").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination(120)
+    got = spark.table(f"rode_{name}")
+    batch = getattr(windows, name)(spark.createDataFrame(recordings, schema.EVENTS), *asked)
+    assert sorted(got.where("id is null").select(*batch.columns).collect()) == sorted(batch.collect())
+    want = windows.triggers_by_start(batch, spark.createDataFrame(marks, schema.TRIGGERS))
+    assert sorted(got.where("id is not null").select(*want.columns).collect()) == sorted(want.collect())
