@@ -29,7 +29,7 @@ def layout(pages: DataFrame, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """file, record, offset, length, digest of the record of every row of pages (page_id, url, html).
 
     Each RECORDS_A_FILE * FILES consecutive page ids are dealt to FILES files by their header blocks, that is by url and length, so rows that
-    share a page_id are in many; those without page_id go to files -1 to -FILES in the same way. A file is in order of page_id, then digest.
+    share a page_id are in many; those without page_id go to files -1 to -FILES in the same way, beside negative ids if there are any. A file is in order of page_id, null first, then digest.
     Null url and html count as empty. Digests are made before rows move. Repeated rows are records of their own; they are counted
     before they move, and placed one after the other.
     """
@@ -125,7 +125,7 @@ v AS (
 h AS (
   SELECT *, 'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Date: 1970-01-01T00:00:00Z' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10) || chr(13) || chr(10) AS head FROM v),
 r AS (SELECT side, crc, coalesce(CAST(floor(page_id / 1048576.0) AS BIGINT) * 256 + CAST('0x' || left(md5(head), 2) AS BIGINT), -1 - CAST('0x' || left(md5(head), 2) AS BIGINT)) AS file, page_id AS record, strlen(head) + strlen(html) + 4 AS length, sha256(head || html) AS digest FROM h),
-o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY side, file ORDER BY record, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r),
+o AS (SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY side, file ORDER BY record NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM r),
 a AS (SELECT * FROM o WHERE side = 0),
 b AS (SELECT * FROM o WHERE side = 1 AND crc <> 1)
 SELECT coalesce(a.file, b.file) AS file, coalesce(a."offset", b."offset") // 65536 AS leaf, coalesce(a.record, b.record) AS record, coalesce(a."offset", b."offset") AS "offset",
